@@ -64,3 +64,24 @@ ORACLE["op3_line_frequency"] = (
     + RULES_SQL
     + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_left, n_lines_removed FROM ruled"
 )
+
+# --------------------------------------------------------------------------- 5: secret scans
+
+
+@query
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through a blob ledger that begins empty. Not for SQL: RE2 gives no offsets."""
+    from sluicebox.llm import secret_ledger
+
+    return secret_ledger.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --------------------------------------------------------------------------- 9: HTML extraction
+
+
+@query
+def op9_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Not for SQL: a scan over tags with learned scores."""
+    from sluicebox.llm import html_region
+
+    return html_region.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
