@@ -85,3 +85,30 @@ def op9_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluicebox.llm import html_region
 
     return html_region.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+# --------------------------------------------------------------------------- 6: language identification
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them. Checked by held-out accuracy."""
+    from pyspark.sql import functions as F
+
+    from sluicebox.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    languages, model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), languages, model)
+
+
+# --------------------------------------------------------------------------- 10: near duplicates
+
+
+@query
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document. Not for SQL at full size: tested against all pairs."""
+    from sluicebox.llm import probminhash
+
+    return probminhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
