@@ -112,3 +112,39 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluicebox.llm import probminhash
 
     return probminhash.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --------------------------------------------------------------------------- 7: benchmark decontamination
+
+
+@query
+def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    from sluicebox.llm import decontaminate
+
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs.select("doc_id", "text"), items)
+
+
+#: Shingles of five words (letters and digits in lower case) of `src(id, text)`, distinct by id; one shorter shingle
+#: for texts of one to four words. Items of fewer than five words don't occur in the benchmark.
+SHINGLES_SQL = r"""
+SELECT DISTINCT id, array_to_string(ws[i : i + 4], chr(32)) AS s
+FROM (SELECT id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) AS i
+      FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') AS ws FROM {src}))
+"""
+
+LEAKS_SQL = f"""
+item_s AS ({SHINGLES_SQL.format(src="(SELECT item_id AS id, text FROM benchmark)")}),
+item_n AS (SELECT id, count(*) AS n FROM item_s GROUP BY id),
+doc_s AS ({SHINGLES_SQL.format(src="leak_src")}),
+leaks AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n.n) AS item_shingles
+  FROM doc_s d JOIN item_s i USING (s) JOIN item_n n ON n.id = i.id
+  GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9)
+"""
+
+ORACLE["op7_containment_search"] = f"""
+WITH leak_src AS (SELECT doc_id AS id, text FROM documents), {LEAKS_SQL}
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM leaks
+"""
