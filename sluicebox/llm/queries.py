@@ -148,3 +148,18 @@ ORACLE["op7_containment_search"] = f"""
 WITH leak_src AS (SELECT doc_id AS id, text FROM documents), {LEAKS_SQL}
 SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM leaks
 """
+
+
+# --------------------------------------------------------------------------- 8: language-model scoring
+
+
+@query
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document. Not for SQL: weights are learned by EM; tested against brute force."""
+    from pyspark.sql import functions as F
+
+    from sluicebox.llm import interpolated_lm
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), (~held_out).alias("train"), "text")
+    return interpolated_lm.score(docs, "train")
