@@ -163,3 +163,14 @@ def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), (~held_out).alias("train"), "text")
     return interpolated_lm.score(docs, "train")
+
+
+# --------------------------------------------------------------------------- 2: SentencePiece
+
+
+@query
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text. Not for SQL: tested against the library."""
+    from sluicebox.llm import pieces
+
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
