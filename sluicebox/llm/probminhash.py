@@ -104,16 +104,19 @@ def has_words(text: str) -> Column:
 
 
 def band_links(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b): every text that shares a band with others, and the smallest of those.
+    """(a, b): links that connect all texts that share a band.
 
     Only a band's hash and a node travel; partial minima are taken before the shuffle, so a band that a third of
-    the texts share is no burden.
+    the texts share is no burden. A text is linked to the smallest of its bands' smallest texts, and those among
+    each other: in a large family they are few, so there are hardly more links than texts.
     """
     bound_batches(docs.sparkSession)
     signed = docs.where(has_words(text)).select(text_node(text).alias("node"), F.col(text).alias("text")).mapInArrow(_sign, "node long, bands array<long>")
     rows = stage(signed.select("node", F.explode("bands").alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
-    return rows.join(shared, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = rows.join(shared, "band").groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("smallest"))
+    ends = F.explode(F.array_append("smallest", F.col("node")))
+    return stars.select(F.col("smallest")[0].alias("a"), ends.alias("b")).where("a <> b").distinct()
 
 
 def verified(texts: DataFrame) -> DataFrame:
