@@ -174,3 +174,38 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluicebox.llm import pieces
 
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --------------------------------------------------------------------------- 1: quality classifier
+
+
+@query
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from `labels`. Not for SQL: checked by held-out accuracy."""
+    from sluicebox.llm import cotrain
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "text_score", "meta_score", "quality_score", "good")
+
+
+# --------------------------------------------------------------------------- 4: web archives
+
+
+@query
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, from a legacy archive through the converter to WARC and back."""
+    from sluicebox.llm import arc_to_warc
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return arc_to_warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op4_arc_to_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+top AS (SELECT payload_digest, max(page_id) AS first_id, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN top USING (payload_digest)
+"""
