@@ -171,19 +171,24 @@ def mask(text: str | None, found: list[dict] | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last two columns are the text and its spans: the text masked, the spans dropped."""
+    for batch in batches:
+        n = batch.num_columns
+        texts = [mask(t, f) for t, f in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in range(n - 2)), pa.array(texts, pa.string())], names=batch.schema.names[:-1]
+        )
+
+
 def redact(docs: DataFrame, ledger_path: str | None = None, text: str = "text") -> DataFrame:
     """`docs` with the secrets in `text` masked. Texts without a finding don't pass through Python for it."""
-    import pandas as pd
-
     ledger = scan(docs, ledger_path or staged_path(docs.sparkSession, "secret-ledger"), text=text)
     columns = docs.columns
-    numbered = docs.withColumnRenamed("found", "_found_before") if "found" in columns else docs
-    at = findings(numbered, ledger, text=text, keep=numbered.columns)
-
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, None if f is None else list(f)) for t, f in zip(texts, found)])
-
-    dirty = at.where(F.col("found").isNotNull()).withColumn(text, masked(F.col(text), F.col("found")))
-    both = at.where(F.col("found").isNull()).unionByName(dirty).drop("found")
-    return (both.withColumnRenamed("_found_before", "found") if "found" in columns else both).select(*columns)
+    before = {"found": "_found_before"} if "found" in columns else {}
+    rest = [before.get(c, c) for c in columns if c != text]
+    at = findings(docs.withColumnsRenamed(before), ledger, text=text, keep=(*rest, text))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.drop("found").schema.fields)
+    dirty = at.where(F.col("found").isNotNull()).mapInArrow(_masked, fields)
+    both = at.where(F.col("found").isNull()).drop("found").unionByName(dirty)
+    return both.withColumnsRenamed({v: k for k, v in before.items()}).select(*columns)
