@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, stage, text_bytes, words_of
+from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, slices, stage, text_bytes, words_of
 
 #: The bytes of text in a chunk; the number of parts follows spark.sql.shuffle.partitions.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bits of the hashes by which words and pairs of words are told apart.
 WORD_BITS, PAIR_BITS = 56, 52
 #: Fixed hashes of the end token and of the context before the first word: they stand for no word.
@@ -76,8 +76,12 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of some rows, every row closed by the end token, and the tokens of each row."""
-    hashes, counts = words_of(LOWER[raw], offsets)
+    """The word hashes of some rows, every row closed by the end token, and the tokens of each row.
+
+    Words are hashed slice by slice: the arrays by byte are what takes memory.
+    """
+    parts = [words_of(LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 20)]
+    hashes, counts = (np.concatenate(x) for x in zip(*parts))
     out = np.empty(len(hashes) + len(counts), U64)
     ends = np.cumsum(counts + 1) - 1
     word = np.ones(len(out), bool)
