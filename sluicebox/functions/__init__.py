@@ -1 +1 @@
-"""Sub-package of the data-quality engine."""
+"""Column functions: parsing of raw cells, text normalisation, checksums and distances."""

@@ -1 +1 @@
-"""Sub-package of the data-quality engine."""
+"""Small documents assembled on the driver from the operators' results: scores, plans, comparisons, exports, cards."""

@@ -1 +1 @@
-"""Sub-package of the data-quality engine."""
+"""Readers and writers: archives, CSV, JSON lines, manifests, exports and content-addressed artifacts."""
