@@ -3,10 +3,10 @@
 Documents are partitioned by the power of two of their number of distinct shingles, since a signature that finds a
 short item inside a long document must grow with the document. A partition with up to 2^s shingles uses signatures
 of one-permutation MinHash with 4 x 2^s bins: a bin keeps the smallest hash that falls into it. For every partition
-the items are signed with its number of bins. An item contained to 0.8 in a document shares each of its contained
-minima with a probability of at least 0.88, so even an item of 7 shingles is missed less than once in 10^4 texts,
-and one of 15 words (11 shingles) less than once in 10^8. Shared minima name candidates, whose shingle sets are then
-compared exactly.
+the items are signed with its number of bins. Of the shingles that a document shares with an item, each is a minimum
+of its bin with a probability of at least (1 - exp(-1/4)) * 4 - 0.005 = 0.88. Signatures are made with as many
+independent hashes as the shortest item of a block needs to be missed less than once in 10^6: one hash does from seven
+shared shingles on. Shared minima name candidates, whose shingle sets are then compared exactly.
 
 Words are lower-case runs of letters and digits, so that markup and punctuation don't hide a passage. Shingles have
 five words; an item of one to four words is one shorter shingle and is looked for as such.
@@ -51,9 +51,17 @@ def partition_of(sizes: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
 
 
-def minima(row: np.ndarray, values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which of the rows' values are the smallest of their bin; `bits` is the power of two of each value's bins."""
-    order = mix(values)
+def hashes_needed(sizes: np.ndarray, least: float) -> int:
+    """Hashes by which an item of the smallest size, contained to `least`, is missed less than once in 10^6."""
+    if not len(sizes):
+        return 1
+    shared = max(1, int(np.ceil(least * sizes.min() - 1e-9)))
+    return int(np.ceil(np.log(1e-6) / (shared * np.log(0.12))))
+
+
+def minima(row: np.ndarray, values: np.ndarray, bits: np.ndarray, turn: int = 0) -> np.ndarray:
+    """Which of the rows' values are the smallest of their bin by hash `turn`; `bits`: the power of two of the bins."""
+    order = mix(values ^ mix(np.array([turn], U64)))
     bins = (order >> (U64(64) - bits.astype(U64))).astype(np.int64)
     by = np.lexsort((order, bins, row))
     first = np.ones(len(by), bool)
@@ -64,39 +72,44 @@ def minima(row: np.ndarray, values: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class Index:
     """Signatures of a block of items by partition, and their shingle sets for the exact check."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], least: float = CONTAINMENT):
         self.ids = ids
         column = pa.array(texts, pa.string())
         parts = [(a + row, values) for a, _, row, values, _ in shingle_rows(column)]
         self.item = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         self.values = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, U64)
         self.sizes = np.bincount(self.item, minlength=len(ids))
-        words = np.concatenate([p[4] for p in [*shingle_rows(column)]]) if len(ids) else np.zeros(0, np.int64)
+        words = np.concatenate([p[4] for p in shingle_rows(column)]) if len(ids) else np.zeros(0, np.int64)
+        whole = self.sizes[words >= SHINGLE]
+        #: Hashes for items of whole shingles, and for shorter ones, which are one shingle.
+        self.turns = {True: hashes_needed(whole, least), False: hashes_needed(np.ones(1), least)}
         #: Items shorter than a shingle, by their number of words.
         self.short = {int(n) for n in np.unique(words[(words > 0) & (words < SHINGLE)])}
         order = np.argsort(self.values, kind="stable")
         self.sorted_values, self.sorted_item = self.values[order], self.item[order]
-        self.signed: dict[int, np.ndarray] = {}
+        self.signed: dict[tuple[int, int], np.ndarray] = {}
 
-    def signature(self, partition: int) -> np.ndarray:
+    def signature(self, partition: int, turn: int) -> np.ndarray:
         """The sorted minima of all items with the bins of a partition."""
-        if partition not in self.signed:
+        key = partition, turn
+        if key not in self.signed:
             bits = np.full(len(self.values), partition + BINS.bit_length() - 1)
-            self.signed[partition] = np.unique(self.values[minima(self.item, self.values, bits)])
-        return self.signed[partition]
+            self.signed[key] = np.unique(self.values[minima(self.item, self.values, bits, turn)])
+        return self.signed[key]
 
-    def candidates(self, row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-        """Rows that share a minimum with an item of the block."""
+    def candidates(self, row: np.ndarray, values: np.ndarray, rows: int, whole: bool) -> np.ndarray:
+        """Rows that share a minimum with an item of the block; `whole`: shingles of full length."""
         sizes = np.bincount(row, minlength=rows)
         part = partition_of(sizes)
-        least = minima(row, values, part[row] + BINS.bit_length() - 1)
         found = np.zeros(rows, bool)
-        for p in np.unique(part[row]) if len(row) else ():
-            at = least[part[row[least]] == p]
-            signed = self.signature(int(p))
-            if len(signed):
-                place = np.minimum(np.searchsorted(signed, values[at]), len(signed) - 1)
-                found[row[at[signed[place] == values[at]]]] = True
+        for turn in range(self.turns[whole]):
+            least = minima(row, values, part[row] + BINS.bit_length() - 1, turn)
+            for p in np.unique(part[row]) if len(row) else ():
+                at = least[part[row[least]] == p]
+                signed = self.signature(int(p), turn)
+                if len(signed):
+                    place = np.minimum(np.searchsorted(signed, values[at]), len(signed) - 1)
+                    found[row[at[signed[place] == values[at]]]] = True
         return found
 
     def contained(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +129,8 @@ def _search(index: Index, least: float):
                     if k < SHINGLE:  # a document of fewer words has been seen whole
                         far = counts[row] >= k
                         row, values = row[far], values[far]
-                    for i in np.flatnonzero(index.candidates(row, values, b - a)):
-                        items, shared = index.contained(values[row == i] if b - a < 4 else values[slice(*np.searchsorted(row, [i, i + 1]))])
+                    for i in np.flatnonzero(index.candidates(row, values, b - a, k == SHINGLE)):
+                        items, shared = index.contained(values[slice(*np.searchsorted(row, [i, i + 1]))])
                         out += [(a + i, j, n, k) for j, n in zip(items, shared) if n >= least * index.sizes[j] - 1e-9]
             hits = sorted({(int(i), int(j)): int(n) for i, j, n, _ in out}.items())
             rows = pa.array([i for (i, _), _ in hits], pa.int64())
@@ -143,7 +156,7 @@ def matches(
     out, rows = None, docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def search(part: list) -> DataFrame:
-        index = Index([r[0] for r in part], [r[1] for r in part])
+        index = Index([r[0] for r in part], [r[1] for r in part], least)
         return rows.mapInArrow(_search(index, least), "doc_id long, item_id long, shared long, item_shingles long")
 
     part: list = []

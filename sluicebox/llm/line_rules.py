@@ -2,8 +2,8 @@
 
 A line that many documents of one host repeat is boilerplate: menus, notices, license lines. Lines are
 normalised and hashed, the distinct documents that hold each are counted by host, lines above the limit are
-removed, and a document that keeps too little is rejected. Documents that share their longest line count as one
-document, so that a group of copies does not make its own text boilerplate.
+removed, and a document that keeps too little is rejected. For a line, documents whose longest other line is the
+same count as one document, so that a group of copies does not make its own text boilerplate.
 
 Defined cases. Null text has no words and fails the base rules. A null host is a host of its own. Every row is a
 document, also where doc_id is null or repeats; equal rows get equal verdicts. An empty table gives an empty
@@ -115,7 +115,7 @@ def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     """One row for each distinct line of each document: key of the row, host, line, identity, words, n_words.
 
     `key` is a hash of the row's host and text; `line` the hash of the normalised line; `identity` that of the
-    document's longest line; `words` the words of all of the document's occurrences of the line.
+    document's longest other line; `w` the words of the line.
     """
     normal = F.filter(F.transform(F.split(F.col(text), "\n"), normal_line), lambda x: x != "")
     parts = F.transform(normal, lambda x: F.struct(F.size(F.split(x, " ")).alias("w"), x.alias("line")))
@@ -123,8 +123,11 @@ def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
         docs.where(F.col(text).isNotNull())
         .select(F.col(host).alias("host"), row_key(host, text).alias("key"), parts.alias("parts"))
         .where(F.size("parts") > 0)
-        .select("key", "host", F.xxhash64(F.array_max("parts")["line"]).alias("identity"), F.explode("parts").alias("p"))
-        .select("key", "host", "identity", F.xxhash64("p.line").alias("line"), F.col("p.w").alias("w"))
+        .withColumn("top", F.array_max("parts"))
+        .withColumn("second", F.array_max(F.filter("parts", lambda p: p["line"] != F.col("top.line"))))
+        .select("key", "host", F.xxhash64("top.line").alias("top"), F.xxhash64("second.line").alias("second"), F.explode("parts").alias("p"))
+        .select("key", "host", "top", "second", F.xxhash64("p.line").alias("line"), F.col("p.w").alias("w"))
+        .select("key", "host", F.when(F.col("line") == F.col("top"), F.col("second")).otherwise(F.col("top")).alias("identity"), "line", "w")
     )
 
 
@@ -161,39 +164,44 @@ def removals(docs: DataFrame, limits: Limits = Limits(), text: str = "text", hos
     return stage(by_line.groupBy("key").agg(F.collect_set("line").alias("gone"), F.sum("w").alias("distinct_words")), "removals")
 
 
-def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
-    """`docs` with the columns of `base_rules`, n_left (words outside removed lines), n_lines_removed and kept."""
+def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source", with_lines: bool = False) -> DataFrame:
+    """`docs` with the columns of `base_rules`, n_left (words outside removed lines), n_lines_removed and kept.
+
+    With `with_lines` also _gone, the hashes of the removed lines.
+    """
     gone = removals(docs, limits, text, host).select("key", "gone")
     keyed = docs.withColumn("_key", row_key(host, text))
-    joined = keyed.join(sized(gone, 96).withColumnRenamed("key", "_gone_key"), F.col("_key") == F.col("_gone_key"), "left")
+    joined = keyed.join(sized(gone, 96).toDF("_gone_key", "_gone"), F.col("_key") == F.col("_gone_key"), "left")
     lines = F.filter(
         F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normal_line), lambda x: x != ""
     )
-    taken = F.filter(lines, lambda x: F.array_contains("gone", F.xxhash64(x)))
+    taken = F.filter(lines, lambda x: F.array_contains("_gone", F.xxhash64(x)))
     lost = F.when(
-        F.col("gone").isNotNull(),
+        F.col("_gone").isNotNull(),
         F.aggregate(taken, F.lit(0), lambda a, x: a + F.size(F.split(x, " "))),
     ).otherwise(0)
     out = base_rules(joined.withColumn("_lost", lost), limits, text)
     return (
         out.withColumn("n_left", F.col("n_words") - F.col("_lost"))
-        .withColumn("n_lines_removed", F.when(F.col("gone").isNotNull(), F.size(taken)).otherwise(0).cast("long"))
+        .withColumn("n_lines_removed", F.when(F.col("_gone").isNotNull(), F.size(taken)).otherwise(0).cast("long"))
         .withColumn(
             "kept",
             ~F.col("base_failed")
             & ~((F.col("n_left") < limits.min_words) & (F.col("n_left") < limits.min_share * F.col("n_words"))),
         )
-        .drop("_key", "_gone_key", "_lost")
+        .drop("_key", "_gone_key", "_lost", *(() if with_lines else ("_gone",)))
     )
 
 
 def clean(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """The kept rows of `docs`, the lines above the limit removed from their text."""
     columns = docs.columns
-    verdict = verdicts(docs, limits, text, host).where("kept")
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "n_lines_removed", "kept")
+    aside = {c: f"_own_{c}" for c in own if c in columns}
+    verdict = verdicts(docs.withColumnsRenamed(aside), limits, text, host, True).where("kept")
     left = F.filter(
         F.split(F.col(text), "\n"),
-        lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))),
+        lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x))),
     )
     cleaned = F.when(F.col("n_lines_removed") > 0, F.array_join(left, "\n")).otherwise(F.col(text))
-    return verdict.withColumn(text, cleaned).select(*columns)
+    return verdict.withColumn(text, cleaned).select(*[F.col(aside.get(c, c)).alias(c) for c in columns])

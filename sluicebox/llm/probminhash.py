@@ -51,7 +51,7 @@ def signatures(values: np.ndarray, row: np.ndarray, weights: np.ndarray, rows: i
     turn = 0
     while len(live):
         turn += 1
-        draw = mix(values[live] + U64(turn * int(GOLDEN) & (1 << 64) - 1))
+        draw = mix(values[live] ^ mix(np.array([turn], U64)))
         clock = clock - np.log(((draw >> U64(11)).astype(np.float64) + 1.0) * 2.0**-53) / weights[live]
         register = (mix(draw ^ GOLDEN) % U64(m)).astype(np.int64)
         slot = row[live] * m + register
@@ -78,7 +78,7 @@ def bands_of(holders: np.ndarray) -> np.ndarray:
 def shingle_sets(column: pa.Array):
     """For ranges of rows: first row, last row, and row, hash and multiplicity of their distinct shingles."""
     raw, offsets = text_bytes(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 2 << 20):
         hashes, counts = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield (a, b, *distinct_in_rows(*shingles_of(hashes, counts, SHINGLE)))
 
@@ -121,7 +121,7 @@ def band_links(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def verified(texts: DataFrame) -> DataFrame:
     """(a, b): links of exact similarity that connect what is similar, from rows (grp, node, text)."""
-    bound_batches(texts.sparkSession, 500)
+    bound_batches(texts.sparkSession)
     spread = texts.repartition("grp").sortWithinPartitions("grp", "node")
     return spread.mapInArrow(_verify, "a long, b long")
 

@@ -128,8 +128,8 @@ def findings(docs: DataFrame, ledger: DataFrame, versions: dict[str, int] = VERS
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("found"))
     )
-    rows = docs.select(*keep, blob_id(text).alias("blob"))
-    return rows.join(sized(stage(hits, "secret-hits"), 512), "blob", "left").drop("blob")
+    rows = docs.select(*keep, blob_id(text).alias("_blob"))
+    return rows.join(sized(stage(hits, "secret-hits"), 512).withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
 
 
 def listing(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
