@@ -63,10 +63,10 @@ def sized(df: DataFrame, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows and 32 MB, so that long texts don't fill a Python worker."""
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most `rows` rows and 8 MB, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 # --------------------------------------------------------------------------- hashing
@@ -123,7 +123,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows of at most `most` bytes each; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:

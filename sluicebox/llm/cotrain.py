@@ -62,6 +62,18 @@ class Rows:
 
 
 def text_rows(raw: np.ndarray, offsets: np.ndarray) -> Rows:
+    """The features of some rows, made slice by slice and kept in narrow types."""
+    parts = [_text_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    if not parts:
+        return Rows(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), 0, TEXT_BUCKETS + SHAPES)
+    first = np.cumsum([0] + [p.rows for p in parts])
+    return Rows(
+        np.concatenate([(p.row + f).astype(np.int32) for p, f in zip(parts, first)]), np.concatenate([p.feature.astype(np.int32) for p in parts]),
+        np.concatenate([p.value.astype(np.float32) for p in parts]), int(first[-1]), TEXT_BUCKETS + SHAPES,
+    )
+
+
+def _text_rows(raw: np.ndarray, offsets: np.ndarray) -> Rows:
     """Words and neighbouring words, damped and of length one in each row, and shapes of the text."""
     rows = len(offsets) - 1
     hashes, counts = words_of(LOWER[raw], offsets)
@@ -224,12 +236,9 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns
-            raw, offsets = text_bytes(batch.column(n - 1))
-            text = np.concatenate(
-                [text_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).dot(model.text) for a, b in slices(offsets)] or [np.zeros(0)]
-            )
+            text = text_rows(*text_bytes(batch.column(n - 1))).dot(model.text)
             names = batch.schema.names
-            meta = pd.DataFrame({k: batch.column(names.index("_" + k)).to_pandas() for k in ("lang", "source", "n_chars")})
+            meta = pd.DataFrame({k: batch.column(n - 4 + i).to_pandas() for i, k in enumerate(("lang", "source", "n_chars"))})
             odds_text = model.text_scale[0] * text + model.text_scale[1]
             odds_meta = model.meta_scale[0] * meta_rows(meta).dot(model.meta) + model.meta_scale[1]
             # Both views' log odds hold the prior once; given the class they are taken as independent.
@@ -249,6 +258,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, *results)]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema.fields)
     rows = docs.select(
-        *kept, F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").cast("long").alias("_n_chars"), F.col(text).alias("_text")
+        *kept, F.col("lang").alias("_view_lang"), F.col("source").alias("_view_source"), F.col("n_chars").cast("long").alias("_view_n_chars"), F.col(text).alias("_view_text")
     )
     return rows.mapInArrow(_score(model), fields + "text_score double, meta_score double, quality_score double, good boolean")
