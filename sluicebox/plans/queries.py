@@ -485,7 +485,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'o_totalprice' AS "column", l AS level, quantile_cont(o_totalprice, l) AS value FROM orders, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]) AS l) GROUP BY l
+SELECT 'o_totalprice' AS "column", l::DOUBLE AS level, quantile_cont(o_totalprice, l) AS value FROM orders, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]) AS l) GROUP BY l
 """.replace("quantile_cont(o_totalprice, l)", "CASE l WHEN 0.0 THEN min(o_totalprice) WHEN 0.1 THEN quantile_cont(o_totalprice, 0.1) WHEN 0.25 THEN quantile_cont(o_totalprice, 0.25) WHEN 0.5 THEN quantile_cont(o_totalprice, 0.5) WHEN 0.75 THEN quantile_cont(o_totalprice, 0.75) WHEN 0.9 THEN quantile_cont(o_totalprice, 0.9) ELSE max(o_totalprice) END"))
 def quantile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.quantile_grid(table(spark, sf_dir, "orders"), ["o_totalprice"])

@@ -13,10 +13,15 @@ from sluicebox.operators.profile import cells_of
 from sluicebox.operators.rules import Rule, violations
 
 
+def timed(rows: DataFrame, time: str) -> DataFrame:
+    """`rows` with the event time as a timestamp, which watermarks need, also where it came without a zone."""
+    return rows.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "5 minutes", late: str = "10 minutes", value: str | None = None) -> DataFrame:
     """Rows, and the sum of a value, by time window and columns; rows later than the watermark are dropped."""
     sums = [F.count("*").alias("rows")] + ([F.sum(value).alias("total")] if value else [])
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(*sums)
+    grouped = timed(events, time).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(*sums)
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "rows", *(["total"] if value else []))
 
 
@@ -44,4 +49,4 @@ def redacted(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def first_by_id(rows: DataFrame, id_column: str, time: str, late: str = "10 minutes") -> DataFrame:
     """The first record of each id within the watermark; later ones are dropped and their state with them."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([id_column])
+    return timed(rows, time).withWatermark(time, late).dropDuplicatesWithinWatermark([id_column])
