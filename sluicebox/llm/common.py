@@ -55,6 +55,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like `stage`, with the rows in files by a hash of `key`: tables with as many buckets join without a shuffle.
+
+    The table's name lives in the session's catalog, its files in the shared folder.
+    """
+    spark = df.sparkSession
+    path = staged_path(spark, label)
+    name = f"sluicebox_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if its counted rows fit `limit`, else as it is, for a shuffled join.
 

@@ -11,7 +11,7 @@ need. Neither a vocabulary nor a table of pairs is ever in one place, and nothin
 
 Defined cases. Null and empty texts hold only the end token. Without training rows N and V are 0 and all of a token's
 probability is 1 / (V + 1); the base score's formula gives log10(1) = 0 for each token. Repeated rows count as often
-as they occur. A null doc_id belongs to the training part. Words are told apart by 56-bit hashes, pairs by 52 bits.
+as they occur. A null doc_id belongs to the training part. Words are told apart by 56-bit hashes, pairs by 50 bits.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, slices, stage, text_bytes, words_of
+from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, slices, stage_bucketed, text_bytes, words_of
 
 #: The bytes of text in a chunk; the number of parts follows spark.sql.shuffle.partitions.
 CHUNK_BYTES = 8 << 20
 #: Bits of the hashes by which words and pairs of words are told apart.
-WORD_BITS, PAIR_BITS = 56, 52
+WORD_BITS, PAIR_BITS = 56, 50
 #: Fixed hashes of the end token and of the context before the first word: they stand for no word.
 END, START = U64(0x5E4D), U64(0x57A7)
 #: Contexts are put into buckets by the power of two of their count; the last takes all larger ones.
@@ -122,18 +122,18 @@ class Chunk:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.rest.schema) as writer:
             writer.write_batch(self.rest)
-        parts = [sink.getvalue().to_pybytes(), pack(self.sizes), pack(self.word_at)]
+        # Words of equal frequency are in the order of their keys, so all but few differences are small.
+        parts = [sink.getvalue().to_pybytes(), pack(self.sizes), pack(self.word_at), pack_sorted(self.words)]
         head = np.array([len(self.sizes), len(self.word_at), len(self.words), *map(len, parts)], "<i8").tobytes()
-        squeezed = zlib.compress(b"".join(parts), 1)
-        return head + len(squeezed).to_bytes(8, "little") + squeezed + pack(self.words)
+        return head + zlib.compress(b"".join(parts), 1)
 
     @classmethod
     def read(cls, body: bytes) -> Chunk:
-        rows, tokens, words, *lens, squeezed = (int(x) for x in np.frombuffer(body, "<i8", 7))
-        plain = zlib.decompress(body[56 : 56 + squeezed])
-        a, b = lens[0], lens[0] + lens[1]
+        rows, tokens, words, *lens = (int(x) for x in np.frombuffer(body, "<i8", 7))
+        plain = zlib.decompress(body[56:])
+        a, b, c, d = np.cumsum(lens).tolist()
         rest = pa.ipc.open_stream(plain[:a]).read_all().combine_chunks().to_batches()[0]
-        return cls(rest, unpack(plain[a:b], rows).astype(np.int64), unpack(body[56 + squeezed :], words), unpack(plain[b:], tokens).astype(np.int64))
+        return cls(rest, unpack(plain[a:b], rows).astype(np.int64), unpack_sorted(plain[c:d], words), unpack(plain[b:c], tokens).astype(np.int64))
 
     def word_counts(self) -> np.ndarray:
         """Training counts of the words in the order of their keys."""
@@ -343,11 +343,13 @@ def counted(docs: DataFrame, train: str, text: str = "text", size: int = CHUNK_B
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = [c for c in docs.columns if c not in (train, text)]
     rows = docs.select(*rest, F.coalesce(train, F.lit(True)).alias("_train"), F.col(text).alias("_text"))
-    bodies = stage(rows.mapInArrow(_chunk(size), "chunk long, body binary"), "lm-chunks")
+    bodies = stage_bucketed(rows.mapInArrow(_chunk(size), "chunk long, body binary"), "lm-chunks", "chunk", parts)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # from here a row is a chunk
     answers = bodies.mapInArrow(_ask(parts), ASK).groupBy("part").applyInArrow(_answer, ANSWER)
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "n_keys", "tokens", "types")).alias("answers"))
-    return stage(bodies.join(gathered, "chunk").select("body", "answers"), "lm-counted")
+    answered = stage_bucketed(gathered, "lm-answers", "chunk", parts)
+    # Both tables lie in equal buckets: the chunks are not shuffled, however often they are read.
+    return bodies.hint("merge").join(answered, "chunk").select("body", "answers")
 
 
 def learn(chunks: DataFrame) -> np.ndarray:
