@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import row_signature
+from sluicebox.operators.order import beside, quantiles
 
 METHODS = ("median", "mode", "group_median", "missingness_indicator")
 
@@ -27,6 +28,18 @@ def median_decimal(df: DataFrame, column: str, scale: int = 6, by: list[str] | N
     return ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("x"))) + F.max(F.when(holds(high), F.col("x")))) / 2).alias("median"))
 
 
+def median_by(df: DataFrame, column: str, group: str) -> DataFrame:
+    """(group, median) by linear interpolation; a large group is sorted, which spills, and never held in memory."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("g"), F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    run = F.sum("n").over(W.partitionBy("g").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = values.groupBy(F.col("g").alias("t_g")).agg(F.sum("n").alias("total"))
+    rows = values.withColumn("upto", run).join(total, F.col("g").eqNullSafe(F.col("t_g")))
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    middle = lambda k: F.max(F.when(holds(k), F.col("x")))
+    return rows.groupBy("g").agg(((middle(low) + middle(high)) / 2).alias("median"))
+
+
 def indicator(df: DataFrame, column: str) -> DataFrame:
     """`df` with <column>_was_missing, 1 or 0."""
     name = f"{column}_was_missing"
@@ -52,13 +65,13 @@ def impute(df: DataFrame, column: str, method: str, target: str | None = None, g
         counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_fill")).count()
         fill = counts.agg(F.min_by("_fill", F.struct(-F.col("count"), F.col("_fill"))).alias("_fill"))
     else:
-        fill = df.agg(F.median(column).alias("_fill"))
-    out = out.crossJoin(F.broadcast(fill))  # one row
+        fill = quantiles(df, [column], [0.5]).select(F.col("q")[0].alias("_fill"))
+    out = beside(out, fill)
     value = F.coalesce(F.col(column), F.col("_fill"))
     if method == "group_median":
         if group is None:
             raise ValueError("group_median needs a group column")
-        by = df.groupBy(F.col(group).alias("_group")).agg(F.median(column).alias("_group_fill"))
+        by = median_by(df, column, group).toDF("_group", "_group_fill")
         out = out.join(by, out[group].eqNullSafe(by["_group"]), "left")
         value = F.coalesce(F.col(column), F.col("_group_fill"), F.col("_fill"))
     return out.withColumn(column, value).drop("_fill", "_group", "_group_fill")

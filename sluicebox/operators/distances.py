@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.operators.order import beside, quantiles
+
 #: Numbers in a block of queries: 8 MB.
 BLOCK_NUMBERS = 1 << 20
 
@@ -90,7 +92,11 @@ def _search(block: list, rows: DataFrame, k: int, others: bool) -> DataFrame:
 def closest_record_stats(synthetic: DataFrame, real: DataFrame, collision: float = 1e-9) -> DataFrame:
     """Least, mean and median distance of synthetic rows to their closest real row, and how many collide."""
     d = nearest(synthetic, real).select("distance")
-    return d.agg(
+    one = d.agg(
         F.count("*").alias("synthetic_count"), F.min("distance").alias("min_distance"), F.avg("distance").alias("mean_distance"),
-        F.percentile("distance", 0.5).alias("median_distance"), F.count_if(F.col("distance") <= collision).alias("collisions"),
+        F.count_if(F.col("distance") <= collision).alias("collisions"),
+    )
+    median = quantiles(d, ["distance"], [0.5]).select(F.col("q")[0].alias("median_distance"))
+    return beside(one, median).select(
+        "synthetic_count", "min_distance", "mean_distance", "median_distance", "collisions"
     )

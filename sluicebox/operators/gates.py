@@ -9,6 +9,7 @@ from sluicebox.functions.cells import number
 from sluicebox.functions.digests import row_signature
 from sluicebox.operators import pii
 from sluicebox.operators.distances import closest_record_stats, nearest, vector
+from sluicebox.operators.order import beside
 from sluicebox.operators.rules import Rule, rule_summary
 
 COLUMNS = ("gate", "status", "severity", "value", "blocks")
@@ -58,7 +59,7 @@ def rules_gate(candidate: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     one = rule_summary(candidate, rules).agg(F.sum("violations").alias("n"), F.bool_or("blocker").alias("b"))
     row = gate(one, "business_rules", F.col("n"), F.col("n") > 0, "WARNING")
     critical = gate(one, "business_rules", F.col("n"), F.col("b"))
-    return row.crossJoin(F.broadcast(critical.select(F.col("blocks").alias("_b")))).select(
+    return beside(row, critical.select(F.col("blocks").alias("_b"))).select(
         "gate", "status", F.when(F.col("_b"), "BLOCKER").otherwise(F.col("severity")).alias("severity"), "value", F.col("_b").alias("blocks")
     )
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicebox.functions.cells import number
+from sluicebox.operators.order import beside, running_totals
 
 #: How far a metric may drop, and what a dataset needs to be evaluated.
 DROPS = {"rare_class_recall": 0.05, "macro_f1": 0.03, "weighted_f1": 0.03, "pr_auc": 0.03}
@@ -34,21 +34,11 @@ def class_metrics(scored: DataFrame, label: str = "label", prediction: str = "pr
 
 
 def average_precision(scored: DataFrame, positive: str, score: str = "score", label: str = "label") -> DataFrame:
-    """One row, pr_auc: the mean precision over the positives, equal scores taken together.
-
-    Scores are counted first, and running sums go range by range: within ranges of scores, then by their offsets.
-    """
+    """One row, pr_auc: the mean precision over the positives, equal scores taken together."""
     hit = (F.col(label).cast("string") == positive).cast("long")
     counts = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(hit).alias("t"))
-    ranges = counts.repartitionByRange(F.col("s").desc()).withColumn("_p", F.spark_partition_id())
-    within = W.partitionBy("_p").orderBy(F.col("s").desc())
-    run = ranges.withColumn("rn", F.sum("n").over(within)).withColumn("rt", F.sum("t").over(within))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    sums = ranges.groupBy("_p").agg(F.sum("n").alias("a"), F.sum("t").alias("b"))
-    offsets = sums.select("_p", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("an"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bt"))
-    rows = run.join(F.broadcast(offsets), "_p")
-    precision = (F.col("rt") + F.col("bt")) / (F.col("rn") + F.col("an"))
-    return rows.agg(F.when(F.sum("t") > 0, F.sum(precision * F.col("t")) / F.sum("t")).otherwise(0.0).alias("pr_auc"))
+    run = running_totals(counts, "s", ["n", "t"], descending=True)
+    return run.agg(F.when(F.sum("t") > 0, F.sum(F.col("run_t") / F.col("run_n") * F.col("t")) / F.sum("t")).otherwise(0.0).alias("pr_auc"))
 
 
 def metrics(scored: DataFrame, rare: str, label: str = "label", prediction: str = "prediction", score: str = "score") -> DataFrame:
@@ -60,7 +50,7 @@ def metrics(scored: DataFrame, rare: str, label: str = "label", prediction: str
         rare_of("recall").alias("rare_class_recall"), rare_of("precision").alias("rare_class_precision"), F.avg("f1").alias("macro_f1"),
         (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"), (F.sum(F.col("recall") * F.col("support")) / total).alias("accuracy"),
     )
-    return one.crossJoin(F.broadcast(average_precision(scored, rare, score, label)))  # one row by one
+    return beside(one, average_precision(scored, rare, score, label))
 
 
 def train_and_score(train: DataFrame, test: DataFrame, features: list[str], target: str, rare: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions import cells
 from sluicebox.functions.digests import row_signature
+from sluicebox.operators.order import quantiles
 
 #: Names by which columns get their roles.
 TARGETS = ("is_fraud", "label", "target")
@@ -147,9 +148,7 @@ def duplicate_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, q1, q3, low, high): quartiles by linear interpolation, and fences 1.5 interquartile ranges off."""
-    rows = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("i", "x")).where("x is not null and not isnan(x)")
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
-    stats = rows.groupBy(names.alias("column")).agg(F.count("*").alias("n"), F.percentile("x", [0.25, 0.75]).alias("q"))
+    stats = quantiles(df, columns, [0.25, 0.75])
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return stats.select("column", "n", q1.alias("q1"), q3.alias("q3"), (q1 - FENCE * (q3 - q1)).alias("low"), (q3 + FENCE * (q3 - q1)).alias("high"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.cells import number
 from sluicebox.operators.distances import nearest, vector
+from sluicebox.operators.order import numbered, quantiles
 
 MARKER, SOURCE_SPLIT = "is_synthetic", "synthetic_source_split"
 LEVELS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -50,8 +51,7 @@ def smote(train: DataFrame, target: str, rare: str, features: list[str], id_colu
         raise ValueError("needs two rare rows and a numeric column")
     new = smote_target(n, max(counts.values()), strategy) - n
     rows = train.where(label == rare).withColumn("_vector", vector(*features))
-    # A dense number for each rare row, in the order of its id, without one task for all: offsets by partition.
-    keyed = _numbered(rows, id_column)
+    keyed = numbered(rows, id_column, "_k")
     points = keyed.select(F.col("_k").alias("id"), F.col("_vector").alias("vector"))
     near = nearest(points, points, min(k, n - 1), exclude_same_id=True)
     i = F.col("id")
@@ -67,16 +67,6 @@ def smote(train: DataFrame, target: str, rare: str, features: list[str], id_colu
     return joined.select(*made, F.lit(1).alias(MARKER), F.lit("train").alias(SOURCE_SPLIT), F.col(id_column).cast("string").alias("seed_id"), F.col("neighbor_id").cast("string").alias("neighbor_id"), "lambda")
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """`df` with _k, 0, 1, 2, ... in the order of a column; the offsets of the ranges are a small table."""
-    from pyspark.sql import Window as W
-
-    spread = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    ranked = spread.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    offsets = ranked.groupBy("_p").agg(F.max("_r").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(offsets.select("_p", "_off")), "_p").withColumn("_k", (F.col("_r") + F.col("_off") - 1).cast("long")).drop("_p", "_r", "_off")
-
-
 def augmented(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Real rows, marked 0, and synthetic rows, marked 1, with the columns of the real ones and the markers."""
     marked = real.withColumn(MARKER, F.lit(0)).withColumn(SOURCE_SPLIT, F.lit(None).cast("string"))
@@ -103,10 +93,9 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quantile_grid(df: DataFrame, columns: list[str], levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """(column, level, value): quantiles by linear interpolation."""
-    q = [F.percentile(F.col(c).cast("double"), list(levels)).alias(c) for c in columns]
     grid = F.array(*[F.lit(x) for x in levels])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.arrays_zip(grid.alias("level"), F.col(c).alias("value")).alias("z")) for c in columns])
-    return df.agg(*q).select(F.inline(each)).select("column", F.inline("z")).toDF("column", "level", "value")
+    rows = quantiles(df, columns, list(levels))
+    return rows.select("column", F.inline(F.arrays_zip(grid.alias("level"), F.col("q").alias("value")))).toDF("column", "level", "value")
 
 
 def cholesky(matrix: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -142,8 +131,9 @@ def copula(train: DataFrame, target: str, features: list[str], id_column: str, s
 
     What is fitted is as large as the number of columns; rows are made where they lie, by number.
     """
-    median = train.agg(*[F.median(F.col(f).try_cast("double")).alias(f) for f in features]).first()
-    filled = train.select(*[F.coalesce(F.col(f).try_cast("double"), F.lit(median[f]), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("string").alias("_label"))
+    numbers = train.select(*[F.col(f).try_cast("double").alias(f) for f in features])
+    median = {r["column"]: r["q"][0] for r in quantiles(numbers, features, [0.5]).collect()}
+    filled = train.select(*[F.coalesce(F.col(f).try_cast("double"), F.lit(median.get(f)), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("string").alias("_label"))
     place = {f: i for i, f in enumerate(features)}
     r = np.eye(len(features))
     for row in correlation(filled, features).collect():

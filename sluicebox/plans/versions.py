@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import stable_digest, stable_id
+from sluicebox.operators.order import beside
 from sluicebox.plans.score import Score
 
 
@@ -39,7 +40,7 @@ def class_balance(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
     def counts(df: DataFrame, side: str) -> DataFrame:
         c = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).count()
         total = c.agg(F.sum("count").alias("t"))
-        return c.crossJoin(F.broadcast(total)).select("label", F.col("count").alias(f"count_{side}"), (F.col("count") / F.col("t")).alias(f"share_{side}"))
+        return beside(c, total).select("label", F.col("count").alias(f"count_{side}"), (F.col("count") / F.col("t")).alias(f"share_{side}"))
 
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = counts(before, "before").join(counts(after, "after"), "label", "full_outer")
