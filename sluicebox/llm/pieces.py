@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import U64, bound_batches, slices, text_bytes
+from sluicebox.llm.common import GOLDEN, U64, bound_batches, mix, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -84,12 +84,17 @@ class Pieces:
                 h = (h * int(BASE) + ord(c) + 1) & (1 << 64) - 1
             self.hashes[i] = h
         ids = np.array(list(self.plain.values()), np.int32)
-        order = np.argsort(self.hashes[ids])
-        self.keys, self.key_ids = self.hashes[ids][order], ids[order]
+        spread = self.hashes[ids] * GOLDEN  # hashes of short pieces are small numbers
+        order = np.argsort(spread)
+        self.keys, self.key_ids = spread[order], ids[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a key")
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> U64(44)).astype(np.int64)] = True
+        #: For the high 20 bits of a key where such keys begin among the sorted ones, and the most that share them.
+        high = (self.keys >> U64(44)).astype(np.int64)
+        self.begin = np.searchsorted(high, np.arange((1 << 20) + 1)).astype(np.int32)
+        self.crowd = int(np.diff(self.begin).max())
+        #: Pairs of pieces that were tested lately.
+        self.seen_pair, self.seen_apart = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         out = [
             bytes([int(x[3:5], 16)]) if k == 1 else b" \xe2\x81\x87 " if k == 2 else b"" if k == 3 else x.replace(MARK, " ").encode()
             for x, k in zip(self.names, kinds)
@@ -139,18 +144,40 @@ class Pieces:
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """The piece of each key, -1 where there is none."""
         out = np.full(hashes.shape, -1, np.int32)
-        at = np.flatnonzero(self.maybe[(hashes >> U64(44)).astype(np.int64)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-            hit = self.keys[place] == hashes[at]
-            out[at[hit]] = self.key_ids[place[hit]]
+        hashes = hashes * GOLDEN
+        high = (hashes >> U64(44)).astype(np.int64)
+        place, end = self.begin[high], self.begin[high + 1]
+        at = np.flatnonzero(place < end)
+        for _ in range(self.crowd):
+            p = place[at]
+            hit = self.keys[p] == hashes[at]
+            out[at[hit]] = self.key_ids[p[hit]]
+            at = at[~hit & (p + 1 < end[at])]
+            if not len(at):
+                break
+            place[at] += 1
         return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the merges leave piece a and piece b apart where they are neighbours.
+        """Whether the merges leave piece a and piece b apart where they are neighbours."""
+        pair = a.astype(np.int64) << 32 | b
+        slot = (mix(pair.view(U64)) >> U64(44)).astype(np.int64)
+        ok = self.seen_apart[slot]
+        new = np.flatnonzero(self.seen_pair[slot] != pair)
+        if len(new):
+            ok[new] = self._apart(a[new], b[new])
+            self.seen_pair[slot[new]] = pair[new]
+            self.seen_apart[slot[new]] = ok[new]
+            # Of several pairs in one slot the last is kept; the flag must be that pair's.
+            lost = self.seen_pair[slot[new]] != pair[new]
+            self.seen_pair[slot[new[lost]]] = -1
+        return ok
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The test itself: merges are undone from the last back.
 
-        Merges are undone from the last back; the two are joined if, at any time, the symbols on both sides of
-        their border make a piece of an earlier rank than the merge that came next.
+        The two are joined if, at any time, the symbols on both sides of their border make a piece of an earlier
+        rank than the merge that came next.
         """
         ok = np.ones(len(a), bool)
         live = np.flatnonzero((a != self.unknown) & (b != self.unknown))
@@ -204,35 +231,45 @@ class Pieces:
             raise AssertionError("no path of the merges was found")
         return ends
 
-    def ids(self, pieces: list[int], text: str) -> list[int]:
+    def ids(self, pieces: list[int]) -> list[int]:
         """Pieces with characters beyond the model as their bytes."""
         out: list[int] = []
         for p in pieces:
             out += [int(self.bytes[b]) for b in chr(-1 - p).encode("utf-8", "surrogatepass")] if p < 0 else [p]
         return out
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; a word begins with the marks of its spaces."""
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in any order, and for each word where its ids begin and how many they are.
+
+        A word begins with the marks of its spaces.
+        """
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, total = [], 0
+
+        def put(at, ids: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal total
+            starts[at], sizes[at] = total + np.cumsum(counts) - counts, counts
+            parts.append(ids.astype(np.int32))
+            total += len(ids)
+
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > LONG or w.startswith(MARK * 2):
-                out[i] = np.array(self.ids(self.merge(w), w), np.int32)
+                found = np.array(self.ids(self.merge(w)), np.int32)
+                put([i], found, np.array([len(found)]))
             else:
                 by_size.setdefault(len(w), []).append(i)
         for size, group in by_size.items():
             text = "".join(words[i] for i in group)
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), size)
             ends = self.viterbi(points.astype(U64))
-            odd = (ends == self.unknown).any(axis=1)
             row, at = np.nonzero(ends >= 0)
-            parts = np.split(ends[row, at], np.cumsum(np.bincount(row, minlength=len(group)))[:-1])
-            for i, part, strange, k in zip(group, parts, odd, range(len(group))):
-                if strange:
-                    where = np.flatnonzero(ends[k] >= 0)
-                    part = np.array(self.ids([-1 - int(points[k, w]) if ends[k, w] == self.unknown else int(ends[k, w]) for w in where], ""), np.int32)
-                out[i] = part
-        return out
+            put(np.array(group), ends[row, at], np.bincount(row, minlength=len(group)))
+            for k in np.flatnonzero((ends == self.unknown).any(axis=1)):
+                made = [-1 - int(points[k, w]) if ends[k, w] == self.unknown else int(ends[k, w]) for w in np.flatnonzero(ends[k] >= 0)]
+                found = np.array(self.ids(made), np.int32)
+                put([group[k]], found, np.array([len(found)]))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), starts, sizes
 
     # ------------------------------------------------------------------ texts
 
@@ -267,26 +304,27 @@ class Encoder:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, and how many each has."""
         if len(self.code) > CACHE:
             self.forget()
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        code = self.code
-        new = list({w for u in units for w in u if w not in code})
-        for w, part in zip(new, self.pieces.encode_words([w.replace(" ", MARK) for w in new])):
-            code[w] = len(self.parts)
-            self.parts.append(part)
-        sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
-        pool = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
-        starts = np.cumsum(sizes) - sizes
         number = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.fromiter((code[w] for u in units for w in u), np.int64, int(number.sum()))
-        lens = sizes[codes]
+        flat = [w for u in units for w in u]
+        del units
+        code = self.code
+        new = [w for w in set(flat) if w not in code]
+        if new:
+            made, starts, sizes = self.pieces.encode_words([w.replace(" ", MARK) for w in new])
+            code.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.starts, self.sizes = np.concatenate([self.starts, starts + len(self.pool)]), np.concatenate([self.sizes, sizes])
+            self.pool = np.concatenate([self.pool, made])
+        codes = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
+        lens = self.sizes[codes]
         total = np.concatenate([[0], np.cumsum(lens)])
-        ids = pool[np.repeat(starts[codes] - total[:-1], lens) + np.arange(total[-1])]
+        ids = self.pool[np.repeat(self.starts[codes] - total[:-1], lens) + np.arange(total[-1])]
         bounds = np.concatenate([[0], np.cumsum(number)])
         return ids.astype(np.int32), np.diff(total[bounds])
 
@@ -312,7 +350,7 @@ def _encode(model, keep_text: bool):
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             _, offsets = text_bytes(column)
-            for a, b in slices(offsets, 8 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 part = column.slice(a, b - a)
                 texts = [t or "" for t in part.to_pylist()]
                 ids, counts = encoder.encode(texts)
