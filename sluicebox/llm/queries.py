@@ -188,7 +188,7 @@ def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     model = cotrain.train(docs, table(spark, sf_dir, "labels"))
-    return cotrain.score(docs, model).select("doc_id", "text_score", "meta_score", "quality_score", "good")
+    return cotrain.score(docs, model).selectExpr("doc_id", "text_score", "meta_score", "quality_score", "good AS kept")
 
 
 # --------------------------------------------------------------------------- 4: web archives
