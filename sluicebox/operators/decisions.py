@@ -127,6 +127,19 @@ def reason_counts(decided: DataFrame) -> DataFrame:
     return decided.select(F.explode("reason_codes").alias("reason_code")).groupBy("reason_code").agg(F.count("*").alias("objects"))
 
 
+#: Signals that may be shown with a queued object: numbers only, never its content.
+SAFE_SIGNALS = (
+    "technical_quality", "privacy_risk", "duplicate_score", "rare_segment_score", "model_uncertainty", "ambiguous_object_score",
+    "probable_label_error_score",
+)
+
+
+def safe_previews(decided: DataFrame, queue: DataFrame) -> DataFrame:
+    """`queue` with a preview of each object: its type, reasons and numeric signals."""
+    shown = decided.select("object_id", F.struct("object_type", "action", *[F.round(s, 6).alias(s) for s in SAFE_SIGNALS]).alias("preview"))
+    return queue.join(shown, "object_id", "left")
+
+
 def review_queue(decided: DataFrame) -> DataFrame:
     """(queue, object_id, reasons, priority, may_leave): an object may be in several queues, in label review twice.
 

@@ -55,32 +55,38 @@ def rules_digest(rules: tuple[Rule, ...]) -> str:
     return stable_digest([asdict(r) for r in rules])
 
 
-def passes(check: Check) -> Column:
-    """Whether a check holds; never NULL."""
-    raw = F.nullif(F.col(check.field).cast("string"), F.lit(""))
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def passes(check: Check, types: dict[str, str] | None = None) -> Column:
+    """Whether a check holds; never NULL. Numeric columns, by `types`, are compared as they are; raw cells are parsed."""
+    numeric = (types or {}).get(check.field, "string").startswith(NUMERIC)
+    raw = F.col(check.field) if numeric else F.nullif(F.col(check.field).cast("string"), F.lit(""))
     if check.op in ("gte", "gt", "lte", "lt"):
-        x, y = cells.number(raw), float(check.value)
+        x, y = (F.nanvl(raw.cast("double"), F.lit(None)) if numeric else cells.number(raw)), float(check.value)
         test = {"gte": x >= y, "gt": x > y, "lte": x <= y, "lt": x < y}[check.op]
     elif check.op in ("eq", "ne"):
+        raw = raw.cast("string")
         test = raw == str(check.value) if check.op == "eq" else raw != str(check.value)
     else:
+        raw = raw.cast("string")
         test = raw.isin(*[str(v) for v in check.value])
         test = test if check.op == "in" else ~test
     missing = F.lit(check.allow_missing)
     return F.when(raw.isNull(), missing).otherwise(F.coalesce(test, F.lit(False)))
 
 
-def failed_field(rule: Rule) -> Column:
+def failed_field(rule: Rule, types: dict[str, str] | None = None) -> Column:
     """The field of the first check that fails; NULL if the rule holds."""
     out = F.when(F.lit(False), F.lit(""))
     for check in rule.checks:
-        out = out.when(~passes(check), F.lit(check.field))
+        out = out.when(~passes(check, types), F.lit(check.field))
     return out
 
 
 def violations(df: DataFrame, rules: tuple[Rule, ...], id_column: str) -> DataFrame:
     """(id, rule_id, severity, field) of every rule that a row violates."""
-    each = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), failed_field(r).alias("field")) for r in rules])
+    each = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), failed_field(r, dict(df.dtypes)).alias("field")) for r in rules])
     return df.select(F.col(id_column).alias("id"), F.inline(each)).where("field is not null")
 
 
@@ -89,7 +95,7 @@ def rule_summary(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     sums = [
         F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.count("*").alias("evaluated"),
-            F.count_if(failed_field(r).isNotNull()).alias("violations"),
+            F.count_if(failed_field(r, dict(df.dtypes)).isNotNull()).alias("violations"),
         )
         for r in rules
     ]

@@ -83,6 +83,38 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("r.*", broken.alias("_b")).withColumn("reason_code", F.coalesce("_b", manifest_reason())).drop("_b")
 
 
+def whole_file_rows(spark: SparkSession, path: str, version: str, modality: str, source: str) -> DataFrame:
+    """Manifest rows of files that are one object each: images, audio, annotation files. Only their digests are read out."""
+    each = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    digest = content_digest(F.col("content"))
+    return each.select(
+        object_id(F.lit(version), name, digest).alias("object_id"), F.lit(modality).alias("modality"), F.lit(source).alias("source_system"),
+        name.alias("row_key"), digest.alias("hash"), F.lit(None).cast("string").alias("label"),
+        F.create_map(F.lit("bytes"), F.col("length").cast("string")).alias("metadata"),
+    )
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Prediction rows of a JSON-lines file with reason_code: NULL for a valid row, else the first broken invariant."""
+    from sluicebox.operators.predictions import SCHEMA, reason_code
+
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    parsed = raw.select(F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").alias("v"))
+    broken = F.when(F.col("v").isNull(), "invalid_json").when(~F.schema_of_variant("v").startswith("OBJECT"), "row_not_object")
+    return parsed.select("r.*", broken.alias("_b")).withColumn("reason_code", F.coalesce("_b", reason_code())).drop("_b")
+
+
+def prediction_report(rows: DataFrame, manifest_rows: DataFrame) -> DataFrame:
+    """One row: valid and refused predictions, coverage of the manifest, and the latest inference."""
+    from sluicebox.operators.order import beside
+    from sluicebox.operators.predictions import coverage
+
+    valid = rows.where("reason_code is null")
+    counts = rows.agg(F.count_if(F.col("reason_code").isNull()).alias("valid"), F.count("reason_code").alias("refused"), F.max("inference_timestamp").alias("latest"))
+    return beside(counts, coverage(manifest_rows, valid))
+
+
 # --------------------------------------------------------------------------- export
 
 

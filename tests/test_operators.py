@@ -334,6 +334,8 @@ def test_decisions(spark):
     queue = {(r.queue, r.object_id) for r in decisions.review_queue(decided).collect()}
     assert queue == {("privacy_review", "a"), ("duplicate_review", "b")}
     assert one(decisions.readiness(decided))["decision"] == "BLOCKED"
+    preview = decisions.safe_previews(decided, decisions.review_queue(decided)).where("object_id = 'b'").first().preview
+    assert preview.duplicate_score == 1.0 and preview.action == "REMOVE_DUPLICATE"
     assert {r.reason_code for r in decisions.reason_counts(decided).collect()} >= {"pii_unmasked", "exact_duplicate"}
     e = {r.object_id: r for r in passports.evidence(p).collect()}
     assert e["a"].signals.privacy_risk.status == "available" and e["a"].confidence["privacy_risk"] == 0.9
@@ -450,6 +452,19 @@ def test_manifest_export_and_artifacts(spark, tmp_path):
             files.scoped("base", unsafe)
 
 
+def test_prediction_files_and_whole_files(spark, tmp_path):
+    line = '{"object_id":"%s","predicted_label":"x","predicted_proba":{"x":%s,"y":0.1},"confidence":0.9,"inference_timestamp":"2024-05-0%dT00:00:00+00:00"}'
+    (tmp_path / "p.jsonl").write_text("\n".join([line % ("a", 0.9, 1), line % ("b", 0.9, 2), line % ("c", 0.8, 3), "{x", ""]))
+    rows = files.read_predictions(spark, str(tmp_path / "p.jsonl"))
+    assert sorted(str(r.reason_code) for r in rows.collect()) == ["None", "None", "invalid_json", "probability_sum_mismatch"]
+    got = one(files.prediction_report(rows, spark.createDataFrame([("a",), ("z",)], "object_id string")))
+    assert (got["valid"], got["refused"], got["matched"], got["unmatched"], got["missing"], got["coverage_ratio"]) == (2, 2, 1, 1, 1, 0.5)
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.png").write_bytes(b"xyz")
+    r = files.whole_file_rows(spark, str(tmp_path / "img"), "v1", "image", "images").first()
+    assert r.row_key == "a.png" and r.metadata == {"bytes": "3"} and r.object_id.startswith("obj_")
+
+
 # --------------------------------------------------------------------------- streaming
 
 
