@@ -153,7 +153,7 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
 
 def removals(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """(key, removed words, hashes of the removed lines) of every document text with a line above the limit."""
-    lines = document_lines(docs, text, host)
+    lines = stage(document_lines(docs, text, host), "lines")  # hashes, read twice; texts are split and normalised once
     frequent = stage(frequent_lines(lines, limits), "frequent-lines")
     hit = lines.join(
         sized(frequent, 64).select(F.col("host").alias("h"), F.col("line").alias("l")),
