@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, slices, stage_bucketed, text_bytes, words_of
 
 #: The bytes of text in a chunk; the number of parts follows spark.sql.shuffle.partitions.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Bits of the hashes by which words and pairs of words are told apart.
 WORD_BITS, PAIR_BITS = 56, 50
 #: Fixed hashes of the end token and of the context before the first word: they stand for no word.
