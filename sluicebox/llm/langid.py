@@ -54,7 +54,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= alpha[:-1] & ~first[1:]  # of a run of other characters, the first
     point = np.where(alpha, points, 32)[keep].astype(U64)
     row = row[keep]
-    at, out = np.arange(len(point)), []
+    out = []
     h = np.zeros(len(point), U64)
     for n in range(1, max(ORDERS) + 1):
         if n > 1:
@@ -66,7 +66,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if n in ORDERS:
             bucket = (mix(h ^ U64(n)) >> U64(64 - 15)).astype(np.int32)
             out.append((row[: len(point)][same], bucket[same]))
-    del at
     rows_, buckets = (np.concatenate(x) for x in zip(*out))
     order = np.argsort(rows_, kind="stable")
     return buckets[order], rows_[order], has

@@ -112,10 +112,10 @@ def base_rules(docs: DataFrame, limits: Limits = Limits(), text: str = "text") -
 
 
 def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """One row for each distinct line of each document: key of the row, host, line, identity, words, n_words.
+    """(key, host, identity, line): one row for each line of each document.
 
     `key` is a hash of the row's host and text; `line` the hash of the normalised line; `identity` that of the
-    document's longest other line; `w` the words of the line.
+    document's longest other line.
     """
     normal = F.filter(F.transform(F.split(F.col(text), "\n"), normal_line), lambda x: x != "")
     parts = F.transform(normal, lambda x: F.struct(F.size(F.split(x, " ")).alias("w"), x.alias("line")))
@@ -126,8 +126,8 @@ def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
         .withColumn("top", F.array_max("parts"))
         .withColumn("second", F.array_max(F.filter("parts", lambda p: p["line"] != F.col("top.line"))))
         .select("key", "host", F.xxhash64("top.line").alias("top"), F.xxhash64("second.line").alias("second"), F.explode("parts").alias("p"))
-        .select("key", "host", "top", "second", F.xxhash64("p.line").alias("line"), F.col("p.w").alias("w"))
-        .select("key", "host", F.when(F.col("line") == F.col("top"), F.col("second")).otherwise(F.col("top")).alias("identity"), "line", "w")
+        .select("key", "host", "top", "second", F.xxhash64("p.line").alias("line"))
+        .select("key", "host", F.when(F.col("line") == F.col("top"), F.col("second")).otherwise(F.col("top")).alias("identity"), "line")
     )
 
 
@@ -152,16 +152,17 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
 
 
 def removals(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
-    """(key, removed words, hashes of the removed lines) of every document text with a line above the limit."""
+    """(key, gone) of every document text with a line above the limit: the hashes of its removed lines.
+
+    Rows of equal host and text share a key; what a task holds of a key is combined before the shuffle.
+    """
     lines = stage(document_lines(docs, text, host), "lines")  # hashes, read twice; texts are split and normalised once
     frequent = stage(frequent_lines(lines, limits), "frequent-lines")
     hit = lines.join(
         sized(frequent, 64).select(F.col("host").alias("h"), F.col("line").alias("l")),
         F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")),
     )
-    # Rows of equal host and text share a key: the distinct lines and their words are taken once.
-    by_line = hit.groupBy("key", "line").agg(F.max("w").alias("w"))
-    return stage(by_line.groupBy("key").agg(F.collect_set("line").alias("gone"), F.sum("w").alias("distinct_words")), "removals")
+    return stage(hit.groupBy("key").agg(F.collect_set("line").alias("gone")), "removals")
 
 
 def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source", with_lines: bool = False) -> DataFrame:
@@ -169,7 +170,7 @@ def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", hos
 
     With `with_lines` also _gone, the hashes of the removed lines.
     """
-    gone = removals(docs, limits, text, host).select("key", "gone")
+    gone = removals(docs, limits, text, host)
     keyed = docs.withColumn("_key", row_key(host, text))
     joined = keyed.join(sized(gone, 96).toDF("_gone_key", "_gone"), F.col("_key") == F.col("_gone_key"), "left")
     lines = F.filter(
