@@ -8,8 +8,8 @@ probability Jaccard similarity of their weights. Registers are cut into bands; t
 family, and inside a family the exact Jaccard similarity of the shingle sets decides.
 
 Exact copies are one text: they are joined by hash before anything else and never paired. No pair is emitted but the
-verified links of a spanning forest. A family larger than a block is dealt as pairs of blocks, so its work spreads
-over tasks and no link is lost.
+verified links of a spanning forest. A family larger than a block is first compared within blocks; then blocks are
+paired, but only between texts that are not in one class yet, so its work spreads over tasks and no link is lost.
 
 Defined cases. Null texts and texts without words are never duplicates: each such row is a class of its own. A text
 of one to four words has one shingle, all its words. A class is named by its smallest doc_id; rows with a null doc_id
@@ -184,6 +184,49 @@ def forest(nodes: list[int], sets: list[np.ndarray], least: float = SIMILARITY)
     return links
 
 
+def family_texts(docs: DataFrame, placed: DataFrame, text: str) -> DataFrame:
+    """(node, root, blocks, text) of the texts of families; hashes choose the rows, so no other text is shuffled."""
+    rows = docs.where(has_words(text)).select(text_node(text).alias("node"), F.col(text).alias("text"))
+    chosen = rows.join(sized(placed.select("node", "root", "blocks"), 48), "node")
+    return stage(chosen.groupBy("node", "root", "blocks").agg(F.max("text").alias("text")), "family-texts")
+
+
+def block_links(texts: DataFrame) -> DataFrame:
+    """Links within blocks, and of every block to its family's root, whose text is in all of them."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    places = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block.cast("int")))
+    dealt = texts.select("node", "text", "root", F.explode(places).alias("block"))
+    return verified(dealt.select(F.xxhash64("root", "block").alias("grp"), "node", "text"))
+
+
+def cross_links(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between texts of a family that `found` (node, root as class) does not connect yet.
+
+    Classes of a block's size or more are parts of their own, the rest of a family is one part. Blocks are paired
+    between parts and within the rest: what is one class already is not compared again, so a family that its blocks
+    have joined costs nothing more, however large it is.
+    """
+    classed = texts.join(found.select("node", F.col("root").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    sizes = classed.groupBy("root", "cls").agg(F.count("*").alias("n"))
+    sizes = stage(sizes.withColumn("rest", F.col("n") < BLOCK).withColumn("part", F.when(F.col("rest"), 0).otherwise(F.col("cls"))), "class-sizes")
+    parts = stage(sizes.groupBy("root", "rest", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("k")), "class-parts")
+    a, b = (parts.select("root", *[F.col(c).alias(f"{c}_{side}") for c in ("rest", "part", "k")]) for side in "ab")
+    apart = F.col("rest_a") | (~F.col("rest_b") & (F.col("part_a") < F.col("part_b")))
+    pairs = (
+        a.join(b, "root").where(apart)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k_b") - 1)))
+        .where(~F.col("rest_b") | (F.col("i") <= F.col("j")))
+        .withColumn("grp", F.xxhash64("root", "rest_a", "part_a", "i", "rest_b", "part_b", "j"))
+    )
+    side = lambda s, block: pairs.select("grp", "root", F.col(f"rest_{s}").alias("rest"), F.col(f"part_{s}").alias("part"), F.col(block).alias("block"))
+    sides = side("a", "i").union(side("b", "j")).distinct()
+    members = (
+        classed.join(sizes.select("root", "cls", "rest", "part"), ["root", "cls"]).join(parts, ["root", "rest", "part"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    )
+    return verified(members.join(sides, ["root", "rest", "part", "block"]).select("grp", "node", "text"))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(node, class_node, class_id) of every text that has words: its class's root and smallest doc_id."""
     nodes = stage(
@@ -192,19 +235,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     families = components(band_links(docs, text), "families")
     sizes = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = stage(families.join(sizes, "root"), "placed")
-    # One text for each node of a family: hashes choose the row, so only texts of families are shuffled.
-    texts = (
-        docs.where(has_words(text))
-        .select(text_node(text).alias("node"), F.col(text).alias("text"))
-        .join(sized(placed.select("node", "root", "blocks"), 48), "node")
-        .groupBy("node", "root", "blocks")
-        .agg(F.max("text").alias("text"))
-    )
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.select("node", "text", "root", block.alias("block"), other.alias("other"))
-    grp = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
-    links = stage(verified(dealt.select(grp.alias("grp"), "node", "text")).distinct(), "links")
+    texts = family_texts(docs, placed, text)
+    links = stage(block_links(texts).distinct(), "links")
+    large = texts.where("blocks > 1")
+    if large.limit(1).count():
+        more = cross_links(large, components(links, "block-classes"))
+        links = links.unionByName(stage(more.distinct(), "cross-links"))
     found = components(links, "classes")
     rooted = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "first", "copies")
     ids = rooted.groupBy("class_node").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"), F.sum("copies").alias("n_documents"))

@@ -66,7 +66,9 @@ def test_near_duplicates_equal_all_pairs(spark):
 
 def test_family_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(probminhash, "BLOCK", 4)
-    texts = near_texts(seed=5, families=3, size=30)
+    # Families that fall apart into several classes, and one of a single dense class.
+    dense = [f"x{i} " + " ".join(f"d{j}" for j in range(80)) for i in range(40)]
+    texts = near_texts(seed=5, families=3, size=30) + dense
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in probminhash.label(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
