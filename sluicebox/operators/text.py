@@ -53,14 +53,16 @@ def parse_lines(lines: DataFrame, line: str = "value", number: str = "line_numbe
 
 def validate(records: DataFrame, id_column: str = "object_id", text: str = "text", min_length: int = 3, confidence: str | None = None) -> DataFrame:
     """`records` with reason_code, for records that are columns already: the same tests in the same order."""
+    size = F.col("_normal_length")
     reason = (
         F.when(F.col(id_column).isNull() | F.col(text).isNull(), REASONS[2])
-        .when(normalize(F.col(text)) == "", REASONS[4])
-        .when(F.length(normalize(F.col(text))) < min_length, REASONS[5])
+        .when(size == 0, REASONS[4])
+        .when(size < min_length, REASONS[5])
     )
     if confidence:
         reason = reason.when(F.col(confidence).isNotNull() & ~F.col(confidence).between(0, 1), REASONS[7])
-    return records.withColumn("reason_code", reason)
+    measured = records.withColumn("_normal_length", F.length(normalize(F.col(text))))
+    return measured.withColumn("reason_code", reason).drop("_normal_length")
 
 
 def first_by_id(records: DataFrame, id_column: str = "object_id", order: str = "line_number") -> DataFrame:
