@@ -1,10 +1,10 @@
 """Near-duplicate detection with ProbMinHash, banding and exact verification.
 
-A document is a weighted set of five-word shingles (weight 1 + ln of the occurrences). Every shingle is a Poisson
-process whose points arrive at the rate of its weight and fall on random registers; a register keeps the shingle
-that arrives first. Arrivals are drawn in rounds, and a shingle stops as soon as its last point is later than every
+A document is a set of five-word shingles, of weight 1 each, however often one occurs: signatures are of the measure
+that decides. Every shingle is a Poisson process whose points arrive at the rate of its weight and fall on random
+registers; a register keeps the shingle that arrives first. Arrivals are drawn in rounds, and a shingle stops as soon as its last point is later than every
 register of the document: the early termination of ProbMinHash. Two documents agree on a register with the
-probability Jaccard similarity of their weights. Registers are cut into bands; texts that share a band belong to one
+probability Jaccard similarity of their weights, which for equal weights is the Jaccard similarity. Registers are cut into bands; texts that share a band belong to one
 family, and inside a family the exact Jaccard similarity of the shingle sets decides.
 
 Exact copies are one text: they are joined by hash before anything else and never paired. No pair is emitted but the
@@ -85,8 +85,8 @@ def shingle_sets(column: pa.Array):
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, row, values, times in shingle_sets(batch.column(1)):
-            holders = signatures(values, row, 1.0 + np.log(times), b - a)
+        for a, b, row, values, _ in shingle_sets(batch.column(1)):
+            holders = signatures(values, row, np.ones(len(values)), b - a)
             found = bands_of(holders).view(np.int64)
             has = np.bincount(row, minlength=b - a) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, has.sum() * BANDS + 1, BANDS, dtype=np.int32)), pa.array(found[has].ravel()))

@@ -74,6 +74,19 @@ def test_family_of_several_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_repeated_passages_do_not_hide_near_duplicates(spark):
+    # Sets of shingles are 0.86 alike; of the second text most occurrences are of one passage.
+    texts = []
+    for k in range(40):
+        own, passage = [f"o{k}_{i}" for i in range(120)], [f"p{k}_{i}" for i in range(40)]
+        changed = ["x" if i in (30, 90) else w for i, w in enumerate(own)]
+        texts += [" ".join(own + passage), " ".join(changed + passage * 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in probminhash.label(docs).collect()}
+    want = brute_classes(texts)
+    assert want[1::2] == want[::2] and [got[i] for i in range(len(texts))] == want
+
+
 def test_registers_agree_as_often_as_weights_say():
     values = np.random.default_rng(0).integers(1, 1 << 63, 300, dtype=np.uint64)
     a, b = values[:200], values[100:300]
