@@ -339,6 +339,17 @@ def test_packing():
     assert len(interpolated_lm.unpack(interpolated_lm.pack(np.zeros(0, np.uint64)), 0)) == 0
 
 
+def test_co_training_sees_all_unlabelled_documents(spark):
+    words = {True: "clear river stone garden", False: "click buy cheap offer"}
+    text = lambda i: " ".join(random.Random(i).choices(words[i % 3 == 1].split(), k=30))
+    docs = spark.createDataFrame([(i, text(i), "en", f"s{i % 3 == 1}", 150) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.where("doc_id < 200").selectExpr("doc_id", "cast(doc_id % 3 = 1 as int) AS quality")
+    model = cotrain.train(docs, labels, cotrain.Settings(pool=40, passed=10))
+    # A quarter of the 800 unlabelled documents in each round, whatever the pool weighs.
+    assert len(model.passed) >= 3 and all(190 <= n <= 210 for n in model.passed[0]) and sum(a for a, _ in model.passed) > 500
+    assert all(r.good == (r.doc_id % 3 == 1) for r in cotrain.score(docs, model).collect())
+
+
 def test_co_training_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
