@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import row_signature
@@ -12,8 +17,8 @@ from sluicebox.functions.digests import row_signature
 #: The splits in their order, their shares and the seed.
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 SEED = 42
-#: The greedy assignment works on a table of groups on the driver; beyond this many groups the hash split is taken.
-MAX_GROUPS = 200_000
+#: The greedy assignment writes its choices in parts of so many groups; up to as many are broadcast.
+PART = 200_000
 
 
 def group_table(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -35,17 +40,12 @@ def hash_split(df: DataFrame, group: str, ratios: dict[str, float] = RATIOS, see
     return df.withColumn("split", split.otherwise(F.lit(names[-1])))
 
 
-def assign_groups(groups: dict[str, Counter], ratios: dict[str, float] = RATIOS, rare: str | None = None, seed: int = SEED) -> dict[str, str]:
-    """A split for each group: rare groups first, then large ones, each where it misses size and labels least.
+def chooser(labels: Counter, ratios: dict[str, float] = RATIOS) -> Callable[[tuple[tuple[str, int], ...]], str]:
+    """A function that gives the next group, by its counts of labels, the split whose size and labels it misses least.
 
-    Ties in the order go by a hash of seed and group, ties in the choice by the order of the splits.
+    Ties go by the order of the splits. It keeps only what each split has so far.
     """
-    import hashlib
-
-    total = sum(sum(c.values()) for c in groups.values())
-    labels = sum(groups.values(), Counter())
-    if rare is None and labels:
-        rare = min(labels, key=lambda k: (labels[k], k))
+    total = sum(labels.values())
     size = {s: max(1, round(total * r)) for s, r in ratios.items()}
     while sum(size.values()) > max(total, len(ratios)):
         size[max(size, key=lambda s: size[s])] -= 1
@@ -53,44 +53,93 @@ def assign_groups(groups: dict[str, Counter], ratios: dict[str, float] = RATIOS,
         size[min(size, key=lambda s: size[s])] += 1
     have, have_label = dict.fromkeys(ratios, 0), {s: Counter() for s in ratios}
 
-    def order(name: str) -> tuple:
-        main = min(groups[name], key=lambda k: (k != rare, -groups[name][k], k))
-        return main != rare, -sum(groups[name].values()), hashlib.md5(f"{seed}:{name}".encode()).hexdigest()
-
-    out: dict[str, str] = {}
-    for name in sorted(groups, key=order):
-        counts = groups[name]
-        n = sum(counts.values())
+    def choose(counts: tuple[tuple[str, int], ...]) -> str:
+        n = sum(c for _, c in counts)
 
         def miss(s: str) -> float:
-            by_label = sum(abs(labels[k] * ratios[s] - have_label[s][k] - c) / max(1.0, labels[k] * ratios[s]) for k, c in counts.items())
+            by_label = sum(abs(labels[k] * ratios[s] - have_label[s][k] - c) / max(1.0, labels[k] * ratios[s]) for k, c in counts)
             return abs(size[s] - have[s] - n) / max(1, size[s]) + by_label
 
         best = min(ratios, key=miss)
-        out[name] = best
         have[best] += n
-        have_label[best].update(counts)
-    return out
+        for k, c in counts:
+            have_label[best][k] += c
+        return best
+
+    return choose
+
+
+def rarest(labels: Counter) -> str | None:
+    """The rarest label, of equally rare ones the first."""
+    return min(labels, key=lambda k: (labels[k], k)) if labels else None
+
+
+def assign_groups(groups: dict[str, Counter], ratios: dict[str, float] = RATIOS, rare: str | None = None, seed: int = SEED) -> dict[str, str]:
+    """A split for each group: rare groups first, then large ones, each where it misses size and labels least.
+
+    Ties in the order go by a hash of seed and group, ties in the choice by the order of the splits.
+    """
+    labels = sum(groups.values(), Counter())
+    rare = rarest(labels) if rare is None else rare
+
+    def order(name: str) -> tuple:
+        return rare not in groups[name], -sum(groups[name].values()), hashlib.md5(f"{seed}:{name}".encode()).hexdigest()
+
+    choose = chooser(labels, ratios)
+    return {name: choose(tuple(sorted(groups[name].items()))) for name in sorted(groups, key=order)}
+
+
+def staged_path(spark: SparkSession) -> str:
+    """A fresh path in the folder that driver and executors share, removed when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="sluicebox-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/sluicebox/assignments-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def assignments(counts: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = SEED) -> DataFrame:
+    """(_group, split) of every group of a group table, as `assign_groups` gives them, for any number of groups.
+
+    Spark sorts the groups; the driver reads them in that order, one sorted part at a time, and stages its choices.
+    """
+    spark = counts.sparkSession
+    labels = Counter({r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("count").alias("n")).collect()})
+    groups = counts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("label", "count"))).alias("counts"), F.sum("count").alias("size"))
+    later = ~F.exists("counts", lambda c: c["label"] == F.lit(rarest(labels)))
+    ordered = groups.orderBy(later, F.desc("size"), F.md5(F.concat(F.lit(f"{seed}:"), "group"))).select("group", "counts")
+    choose, path, names, chosen = chooser(labels, ratios), staged_path(spark), [], []
+
+    def write() -> None:
+        part = pa.table({"_group": pa.array(names, pa.string()), "split": pa.array(chosen, pa.string())})
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+        names.clear()
+        chosen.clear()
+
+    for group, found in ordered.toLocalIterator():
+        names.append(group)
+        chosen.append(choose(tuple((c[0], c[1]) for c in found)))
+        if len(names) == PART:
+            write()
+    write()
+    return spark.read.schema("_group string, split string").parquet(path)
 
 
 def group_stratified_split(df: DataFrame, label: str, group: str | None, id_column: str, ratios: dict[str, float] = RATIOS, seed: int = SEED) -> DataFrame:
     """`df` with a split in which no group is torn and labels are spread; each row without a group is its own.
 
-    The table of groups is counted first. Only up to MAX_GROUPS does it go to the driver; else groups go by hash.
+    The rule is the same for any number of groups. Its choices follow one another, so the driver makes them.
     """
     own = F.concat(F.lit("row:"), F.col(id_column).cast("string"))
     key = own if group is None else F.coalesce(F.concat(F.lit("group:"), F.nullif(F.col(group).cast("string"), F.lit(""))), own)
     rows = df.withColumn("_group", key)
     if rows.where(F.col(label).isNull()).limit(1).count():
         raise ValueError("a split needs a label in every row")
-    counts = group_table(rows, "_group", label)
-    if counts.select("group").distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        return hash_split(rows, "_group", ratios, seed).drop("_group")
-    groups: dict[str, Counter] = {}
-    for r in counts.collect():
-        groups.setdefault(r["group"], Counter())[r["label"]] += r["count"]
-    table = df.sparkSession.createDataFrame(list(assign_groups(groups, ratios, None, seed).items()), "_group string, split string")
-    return rows.join(F.broadcast(table), "_group").drop("_group").select(*df.columns, "split")
+    table = assignments(group_table(rows, "_group", label), ratios, seed)
+    few = table.count() <= PART
+    return rows.join(F.broadcast(table) if few else table, "_group").drop("_group").select(*df.columns, "split")
 
 
 def class_distribution(df: DataFrame, label: str, split: str = "split", ratios: dict[str, float] = RATIOS) -> DataFrame:

@@ -202,6 +202,18 @@ def test_greedy_split(groups):
     assert out == splits.assign_groups(dict(reversed(counted.items())))
 
 
+def test_group_split_is_greedy_for_any_number_of_groups(spark):
+    rows = spark.range(210_000).selectExpr("id AS i", "id div 6 * 5 + least(id % 6, 4) AS g", "IF(id % 17 = 0, 'r', IF(id % 3 = 0, 'a', 'b')) AS y")
+    rows = rows.union(spark.range(210_000, 240_000).selectExpr("id AS i", "CAST(NULL AS BIGINT) AS g", "'a' AS y"))
+    groups = {}
+    for r in splits.group_table(rows.selectExpr("coalesce(concat('group:', g), concat('row:', i)) AS g", "y"), "g", "y").collect():
+        groups.setdefault(r["group"], Counter())[r["label"]] += r["count"]
+    assert len(groups) == 205_000
+    want = splits.assign_groups(groups)
+    got = {r.k: r.split for r in splits.group_stratified_split(rows, "y", "g", "i").selectExpr("coalesce(concat('group:', g), concat('row:', i)) AS k", "split").distinct().collect()}
+    assert got == want
+
+
 def test_group_split(spark):
     rows = [(i, f"g{i % 30}" if i % 5 else None, str(int(i % 10 == 0))) for i in range(300)]
     df = spark.createDataFrame(rows, "i long, g string, y string")
