@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import sluicebox
 
@@ -31,54 +34,137 @@ MAX_BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sluicebox-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths by the scopes that are open: a scope's end removes them.
+_scopes: list[list[str]] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by the innermost scope, or when the driver ends."""
     path = f"{shared_dir(spark)}/sluicebox/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, system = _hadoop(spark, path)
+    system.deleteOnExit(hadoop)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path of the shared folder."""
+    hadoop, system = _hadoop(spark, path)
+    system.delete(hadoop, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end: for results that have been written by then."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            remove(spark, path)
+
+
+def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and return it as a table: lineage ends, lost executors cost one read."""
-    path = staged_path(df.sparkSession, label)
+    path = path or staged_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    remove(staged.sparkSession, staged._staged_at)
 
 
 def stage_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     """Like `stage`, with the rows in files by a hash of `key`: tables with as many buckets join without a shuffle.
 
-    The table's name lives in the session's catalog, its files in the shared folder.
+    The table's name leaves the catalog at once: the plan has its files and buckets by then.
     """
     spark = df.sparkSession
     path = staged_path(spark, label)
     name = f"sluicebox_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    staged = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return staged
+
+
+def field_bytes(value: Column, kind: T.DataType) -> Column | int:
+    """The bytes of a value: a number where all values of the type have the same."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        parts = [field_bytes(value[f.name], f.dataType) for f in kind.fields]
+        return sum(parts, start=0)
+    if isinstance(kind, T.ArrayType):
+        each = field_bytes(F.lit(None), kind.elementType)
+        if isinstance(each, int):
+            return F.greatest(F.size(value), F.lit(0)) * each + 16
+        sums = F.aggregate(value, F.lit(0), lambda a, x: a + field_bytes(x, kind.elementType))
+        return F.coalesce(sums, F.lit(0)) + 16
+    if isinstance(kind, T.MapType):
+        return field_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + field_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    return 8
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The bytes of a staged table's rows, counted: fixed sizes by their number, others by their lengths."""
+    sizes = [field_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    fixed = 16 + sum(x for x in sizes if isinstance(x, int))
+    varied = [x for x in sizes if not isinstance(x, int)]
+    if not varied:
+        return df.count() * fixed
+    n, total = df.select(sum(varied[1:], start=varied[0]).alias("b")).agg(F.count("*"), F.sum(F.col("b").cast("long"))).first()
+    return n * fixed + (total or 0)
+
+
+def sized(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its counted bytes fit `limit`, else as it is, for a shuffled join.
+
+    `df` should be a staged table: it is read here.
+    """
+    return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows fit `limit`, else as it is, for a shuffled join.
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 500 rows and 8 MB, so that long texts don't fill a Python worker.
 
-    `df` should be a staged table: it is counted here.
+    The one setting of this package: plans are run later than they are made, so it holds for the whole session.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def bound_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most `rows` rows and 8 MB, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Names for internal columns that none of `columns` has, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 # --------------------------------------------------------------------------- hashing
@@ -209,7 +295,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Every round is staged in the shared folder; only a count of changed labels reaches the driver.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), label)
-    roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label)
+    roots = held = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label)
     while True:
         spread = (
             both.join(roots.select(F.col("node").alias("b"), "root"), "b")
@@ -222,6 +308,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = stage(
             spread.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("next"), "root"), label
         )
-        roots = moved.select("node", F.col("next").alias("root"))
+        release(held)
+        roots, held = moved.select("node", F.col("next").alias("root")), moved
         if not moved.where("next <> root").limit(1).count():
+            release(both)
             return roots

@@ -399,7 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     rows = found.select("doc_id", "label", "row.text", "row.lang", "row.source", "row.n_chars").toPandas().sort_values("doc_id")
 
     def unlabelled() -> Pool:
-        rest = ids.join(sized(labelled.select("doc_id"), 32), "doc_id", "left_anti")
+        rest = ids.join(sized(labelled.select("doc_id")), "doc_id", "left_anti")
         return Pool(rest.select(F.xxhash64("doc_id", F.lit(17)).alias("node"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text"))
 
     raw, offsets = text_bytes(pa.array(rows["text"].where(rows["text"].notna(), ""), pa.large_string()))
