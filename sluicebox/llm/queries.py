@@ -44,10 +44,11 @@ raw_lines AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS raw FRO
 dup AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM raw_lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]') GROUP BY rid),
 lines AS (SELECT rid, source, line, len(string_split(line, ' ')) AS lw FROM
           (SELECT rid, source, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM raw_lines) WHERE line <> ''),
-tops AS (SELECT rid, max({'w': lw, 'line': line}) AS top FROM lines GROUP BY rid),
-seconds AS (SELECT rid, max({'w': lw, 'line': line}) AS second FROM lines JOIN tops USING (rid) WHERE line <> top.line GROUP BY rid),
-ident AS (SELECT l.*, CASE WHEN line = top.line THEN coalesce(second.line, '') ELSE top.line END AS identity FROM lines l JOIN tops USING (rid) LEFT JOIN seconds USING (rid)),
-freq AS (SELECT source, line FROM ident GROUP BY source, line HAVING count(DISTINCT identity) > 20),
+texts AS (SELECT rid, source, sha256(text) AS h FROM src WHERE rid IN (SELECT rid FROM lines)),
+hosts AS (SELECT source, count(DISTINCT h) AS n FROM texts GROUP BY source),
+held AS (SELECT l.source, line, count(DISTINCT h) AS documents FROM lines l JOIN texts USING (rid) GROUP BY l.source, line),
+freq AS (SELECT held.source, line FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source
+         WHERE documents > 5 AND 10 * documents > least(n, 200) AND 1000 * documents > n),
 lost AS (SELECT l.rid, sum(l.lw) AS n, count(*) AS k FROM lines l JOIN freq f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.rid),
 based AS (
   SELECT w.rid, w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
