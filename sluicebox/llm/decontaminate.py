@@ -1,20 +1,22 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
-Documents are partitioned by the power of two of their number of distinct shingles, since a signature that finds a
-short item inside a long document must grow with the document. A partition with up to 2^s shingles uses signatures
-of one-permutation MinHash with 4 x 2^s bins: a bin keeps the smallest hash that falls into it. For every partition
-the items are signed with its number of bins. Of the shingles that a document shares with an item, each is a minimum
-of its bin with a probability of at least (1 - exp(-1/4)) * 4 - 0.005 = 0.88. Signatures are made with as many
-independent hashes as the shortest item of a block needs to be missed less than once in 10^6: one hash does from seven
-shared shingles on. Shared minima name candidates, whose shingle sets are then compared exactly.
+A signature of a whole long document can't find a short item in it: of its few registers hardly one holds a shingle
+of the item. So items are partitioned by the power of two of their number of shingles, and for each partition the
+documents are cut into windows of twice its size, each beginning in the middle of the one before. An item and a window
+have signatures of one fixed length, by one-permutation MinHash: the hash's high bits choose a register, which keeps
+the smallest hash. At a containment of 0.8 the Jaccard similarity of an item and a window that holds it is at least
+0.19, so bands of one register each tell them from the rest; a partition is signed with as many independent hashes as
+its smallest item needs to be missed less than once in 10^6. A document one of whose windows shares a band with an item
+is a candidate; there the shingle sets of whole document and item are compared exactly. A shared shingle is as likely to
+be a window's minimum wherever it stands, so items whose parts are scattered over a document are found alike.
 
 Words are lower-case runs of letters and digits, so that markup and punctuation don't hide a passage. Shingles have
 five words; an item of one to four words is one shorter shingle and is looked for as such.
 
-The items are a stated query set: they go to the tasks in blocks of bounded size, one pass over the documents each.
+The items are a stated query set: they go to the tasks in blocks of bounded bytes, one pass over the documents each.
 
 Defined cases. Null or empty items and documents match nothing. Items that repeat match each on their own. Null ids
-are reported as null. An empty table gives no matches. A document longer than any partition has a partition of its own.
+are reported as null. An empty table gives no matches. `clean` passes further columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,114 +33,164 @@ from sluicebox.llm.common import ALNUM, U64, bound_batches, distinct_in_rows, mi
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Bins for each shingle that a partition allows.
-BINS = 4
-#: Items in a block. An item has some hundred shingles at most, of 8 bytes in each of 30 partitions.
-BLOCK_ITEMS = 4096
+#: Registers of a signature; partitions of items below 16 shingles take four for each shingle.
+REGISTERS = 64
+#: The bytes of items in a block, and an upper bound of the bytes that each item has besides its text.
+BLOCK_BYTES, ITEM_BYTES = 4 << 20, 64
+#: Flags by the low bits of a hash: most windows' minima are told by them to be no item's.
+FLAGS = 18
+EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_rows(column: pa.Array, k: int = SHINGLE):
-    """For ranges of rows: first row, last row, and row and hash of their distinct shingles of k words."""
+    """For ranges of rows: first row, last row, row and hash of their shingles of k words in order, words of each row."""
     raw, offsets = text_bytes(pc.utf8_lower(column))
     for a, b in slices(offsets):
         hashes, counts = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-        row, values, _ = distinct_in_rows(*shingles_of(hashes, counts, k))
-        yield a, b, row, values, counts
+        values, number = shingles_of(hashes, counts, k)
+        yield a, b, np.repeat(np.arange(b - a), number), values, counts
 
 
 def partition_of(sizes: np.ndarray) -> np.ndarray:
-    """The partition of a set of a size: the power of two that holds it."""
+    """The partition of an item of a size: the power of two that holds it."""
     return np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
 
 
-def hashes_needed(sizes: np.ndarray, least: float) -> int:
-    """Hashes by which an item of the smallest size, contained to `least`, is missed less than once in 10^6."""
-    if not len(sizes):
-        return 1
-    shared = max(1, int(np.ceil(least * sizes.min() - 1e-9)))
-    return int(np.ceil(np.log(1e-6) / (shared * np.log(0.12))))
+def register_bits(partition: int) -> int:
+    """The power of two of a partition's registers."""
+    return min(REGISTERS.bit_length() - 1, partition + 2)
 
 
-def minima(row: np.ndarray, values: np.ndarray, bits: np.ndarray, turn: int = 0) -> np.ndarray:
-    """Which of the rows' values are the smallest of their bin by hash `turn`; `bits`: the power of two of the bins."""
-    order = mix(values ^ mix(np.array([turn], U64)))
-    bins = (order >> (U64(64) - bits.astype(U64))).astype(np.int64)
-    by = np.lexsort((order, bins, row))
-    first = np.ones(len(by), bool)
-    first[1:] = (row[by][1:] != row[by][:-1]) | (bins[by][1:] != bins[by][:-1])
-    return by[first]
+def hashes_needed(partition: int, smallest: int, least: float) -> int:
+    """Hashes by which a partition's smallest item, contained to `least`, is missed less than once in 10^6.
+
+    Of the shingles that a window shares with the item each is its register's smallest with a probability that
+    follows from the window's shingles by register.
+    """
+    load = 2 * 2.0**partition / 2.0 ** register_bits(partition)
+    hit = (1 - np.exp(-load)) / load
+    shared = max(1, int(np.ceil(least * smallest - 1e-9)))
+    return max(1, int(np.ceil(np.log(1e-6) / (shared * np.log1p(-hit)) - 0.05)))
+
+
+def permuted(values: np.ndarray, turn: int) -> np.ndarray:
+    """The values by hash `turn`."""
+    return mix(values ^ mix(np.array([turn], U64)))
+
+
+def minima(values: np.ndarray, group: np.ndarray, groups: int, bits: int) -> np.ndarray:
+    """The smallest hash of each register of each group: (groups, registers); EMPTY where there is none."""
+    out = np.full(groups << bits, EMPTY)
+    np.minimum.at(out, (group << bits) | (values >> U64(64 - bits)).astype(np.int64), values)
+    return out.reshape(groups, -1)
+
+
+def windows(row: np.ndarray, values: np.ndarray, rows: int, partition: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the signature of each window: two neighbouring blocks of 2^partition shingles of a row."""
+    number = np.bincount(row, minlength=rows)
+    blocks = -(-number >> partition)  # rounded up
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    signed = minima(values, first[row] + (place >> partition), int(blocks.sum()), bits)
+    owner = np.repeat(np.arange(rows), blocks)
+    paired = owner[1:] == owner[:-1]
+    alone = np.flatnonzero(blocks == 1)
+    both = np.minimum(signed[1:][paired], signed[:-1][paired])
+    return np.concatenate([owner[1:][paired], alone]), np.concatenate([both, signed[first[alone]]])
 
 
 class Index:
     """Signatures of a block of items by partition, and their shingle sets for the exact check."""
 
     def __init__(self, ids: list, texts: list[str | None], least: float = CONTAINMENT):
-        self.ids = ids
+        self.ids, self.least = ids, least
         column = pa.array(texts, pa.string())
-        parts = [(a + row, values) for a, _, row, values, _ in shingle_rows(column)]
-        self.item = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.values = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, U64)
+        item, values, words = [], [], []
+        for a, b, row, found, counts in shingle_rows(column):
+            r, v, _ = distinct_in_rows(found, np.bincount(row, minlength=b - a))
+            item.append(a + r)
+            values.append(v)
+            words.append(counts)
+        self.item, self.values, words = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((item, np.int64), (values, U64), (words, np.int64)))
         self.sizes = np.bincount(self.item, minlength=len(ids))
-        words = np.concatenate([p[4] for p in shingle_rows(column)]) if len(ids) else np.zeros(0, np.int64)
-        whole = self.sizes[words >= SHINGLE]
-        #: Hashes for items of whole shingles, and for shorter ones, which are one shingle.
-        self.turns = {True: hashes_needed(whole, least), False: hashes_needed(np.ones(1), least)}
-        #: Items shorter than a shingle, by their number of words.
-        self.short = {int(n) for n in np.unique(words[(words > 0) & (words < SHINGLE)])}
         order = np.argsort(self.values, kind="stable")
         self.sorted_values, self.sorted_item = self.values[order], self.item[order]
-        self.signed: dict[tuple[int, int], np.ndarray] = {}
+        self.whole = words >= SHINGLE
+        #: Items shorter than a shingle, by their number of words.
+        self.short = sorted({int(n) for n in words[(words > 0) & ~self.whole]})
+        self.made: dict[tuple[bool, int, int], tuple] = {}
+        self.plans = {whole: self.plan(whole) for whole in (True, False)}
 
-    def signature(self, partition: int, turn: int) -> np.ndarray:
-        """The sorted minima of all items with the bins of a partition."""
-        key = partition, turn
-        if key not in self.signed:
-            bits = np.full(len(self.values), partition + BINS.bit_length() - 1)
-            self.signed[key] = np.unique(self.values[minima(self.item, self.values, bits, turn)])
-        return self.signed[key]
+    def plan(self, whole: bool) -> list[tuple[int, int]]:
+        """(partition, hashes) of the items of whole shingles, or of shorter ones."""
+        sizes = self.sizes[(self.whole == whole) & (self.sizes > 0)]
+        part = partition_of(sizes)
+        return [(int(p), hashes_needed(int(p), int(sizes[part == p].min()), self.least)) for p in np.unique(part)]
+
+    def signature(self, whole: bool, partition: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted minima of all items of a partition, and flags of their low bits."""
+        key = whole, partition, turn
+        if key not in self.made:
+            mine = ((self.whole == whole) & (self.sizes > 0) & (partition_of(self.sizes) == partition))[self.item]
+            signed = minima(permuted(self.values[mine], turn), self.item[mine], len(self.ids), register_bits(partition)).ravel()
+            signed = np.unique(signed[signed != EMPTY])
+            flags = np.zeros(1 << FLAGS, bool)
+            flags[(signed & U64((1 << FLAGS) - 1)).astype(np.int64)] = True
+            self.made[key] = signed, flags
+        return self.made[key]
 
     def candidates(self, row: np.ndarray, values: np.ndarray, rows: int, whole: bool) -> np.ndarray:
-        """Rows that share a minimum with an item of the block; `whole`: shingles of full length."""
-        sizes = np.bincount(row, minlength=rows)
-        part = partition_of(sizes)
+        """Which rows have a window that shares a register with an item; `whole`: shingles of full length."""
         found = np.zeros(rows, bool)
-        for turn in range(self.turns[whole]):
-            least = minima(row, values, part[row] + BINS.bit_length() - 1, turn)
-            for p in np.unique(part[row]) if len(row) else ():
-                at = least[part[row[least]] == p]
-                signed = self.signature(int(p), turn)
-                if len(signed):
-                    place = np.minimum(np.searchsorted(signed, values[at]), len(signed) - 1)
-                    found[row[at[signed[place] == values[at]]]] = True
+        if not len(row):
+            return found
+        for partition, turns in self.plans[whole]:
+            for turn in range(turns):
+                signed, flags = self.signature(whole, partition, turn)
+                owner, least = windows(row, permuted(values, turn), rows, partition, register_bits(partition))
+                at, register = np.nonzero(flags[(least & U64((1 << FLAGS) - 1)).astype(np.int64)])
+                probe = least[at, register]
+                place = np.minimum(np.searchsorted(signed, probe), len(signed) - 1)
+                found[owner[at[signed[place] == probe]]] = True
         return found
 
     def contained(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items with shingles among `values`, and how many."""
+        """Items with shingles among the distinct `values`, and how many."""
         low, high = (np.searchsorted(self.sorted_values, values, side) for side in ("left", "right"))
         lens = high - low
         at = np.repeat(low - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         return np.unique(self.sorted_item[at], return_counts=True)
 
+    def hits(self, column: pa.Array) -> dict[tuple[int, int], int]:
+        """(row, item) of the texts that hold an item, and how many shingles they share."""
+        out = {}
+        for k in (SHINGLE, *self.short):
+            for a, b, row, values, counts in shingle_rows(column, k):
+                if k < SHINGLE:  # a document of fewer words has no such shingle
+                    far = counts[row] >= k
+                    row, values = row[far], values[far]
+                for i in np.flatnonzero(self.candidates(row, values, b - a, k == SHINGLE)):
+                    items, shared = self.contained(np.unique(values[slice(*np.searchsorted(row, [i, i + 1]))]))
+                    out |= {(int(a + i), int(j)): int(n) for j, n in zip(items, shared) if n >= self.least * self.sizes[j] - 1e-9}
+        return dict(sorted(out.items()))
+
+
+def _index(block, least: float) -> Index:
+    """The index of a broadcast block; its parts are made once in a task."""
+    ids, texts = block.value
+    return Index(ids, texts, least)
 
-def _search(index: Index, least: float):
+
+def _search(block, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(block, least)
         for batch in batches:
-            out = []
-            for k in (SHINGLE, *sorted(index.short)):
-                for a, b, row, values, counts in shingle_rows(batch.column(1), k):
-                    if k < SHINGLE:  # a document of fewer words has been seen whole
-                        far = counts[row] >= k
-                        row, values = row[far], values[far]
-                    for i in np.flatnonzero(index.candidates(row, values, b - a, k == SHINGLE)):
-                        items, shared = index.contained(values[slice(*np.searchsorted(row, [i, i + 1]))])
-                        out += [(a + i, j, n, k) for j, n in zip(items, shared) if n >= least * index.sizes[j] - 1e-9]
-            hits = sorted({(int(i), int(j)): int(n) for i, j, n, _ in out}.items())
-            rows = pa.array([i for (i, _), _ in hits], pa.int64())
-            sizes = [int(index.sizes[j]) for (_, j), _ in hits]
+            hits = index.hits(batch.column(1))
+            rows = pa.array([i for i, _ in hits], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(rows), pa.array([index.ids[j] for (_, j), _ in hits], pa.int64()),
-                    pa.array([n for _, n in hits], pa.int64()), pa.array(sizes, pa.int64()),
+                    batch.column(0).take(rows), pa.array([index.ids[j] for _, j in hits], pa.int64()),
+                    pa.array(list(hits.values()), pa.int64()), pa.array([int(index.sizes[j]) for _, j in hits], pa.int64()),
                 ],
                 names=["doc_id", "item_id", "shared", "item_shingles"],
             )
@@ -146,33 +198,54 @@ def _search(index: Index, least: float):
     return run
 
 
+def _without(block, least: float, place: int):
+    """Batches without the rows whose column `place` holds an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(block, least)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[i for i, _ in index.hits(batch.column(place))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator:
+    """The items as broadcast blocks of at most `most` bytes of text; a longer item stands alone."""
+    context, ids, texts, held = items.sparkSession.sparkContext, [], [], 0
+    for row in items.select(F.col(key).cast("long"), F.col(text)).toLocalIterator():
+        size = len((row[1] or "").encode()) + ITEM_BYTES
+        if ids and held + size > most:
+            yield context.broadcast((ids, texts))
+            ids, texts, held = [], [], 0
+        ids.append(row[0])
+        texts.append(row[1])
+        held += size
+    yield context.broadcast((ids, texts))
+
+
 def matches(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", least: float = CONTAINMENT, block: int = BLOCK_ITEMS,
+    item_text: str = "text", least: float = CONTAINMENT, block: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of every document and item of at least `least`."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    out, rows = None, docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def search(part: list) -> DataFrame:
-        index = Index([r[0] for r in part], [r[1] for r in part], least)
-        return rows.mapInArrow(_search(index, least), "doc_id long, item_id long, shared long, item_shingles long")
-
-    part: list = []
-    for row in items.select(F.col(item_key).cast("long"), F.col(item_text)).toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            out, part = search(part) if out is None else out.unionByName(search(part)), []
-    if part or out is None:
-        out = search(part) if out is None else out.unionByName(search(part))
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = None
+    for part in blocks(items, item_key, item_text, block):
+        found = rows.mapInArrow(_search(part, least), "doc_id long, item_id long, shared long, item_shingles long")
+        out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", **names) -> DataFrame:
-    """`docs` without the rows whose text holds an item."""
-    from sluicebox.llm.common import sized, stage
-
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = stage(matches(docs.select(node.alias("_node"), text), items, key="_node", text=text, **names).select("doc_id").distinct(), "contaminated")
-    return docs.withColumn("_node", node).join(sized(found.withColumnRenamed("doc_id", "_node"), 32), "_node", "left_anti").select(*docs.columns)
+def clean(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    least: float = CONTAINMENT, block: int = BLOCK_BYTES,
+) -> DataFrame:
+    """`docs` without the rows whose text holds an item. Rows are judged where they are: nothing is shuffled."""
+    bound_batches(docs.sparkSession)
+    out, place = docs, docs.columns.index(text)
+    for part in blocks(items, item_key, item_text, block):
+        out = out.mapInArrow(_without(part, least, place), docs.schema)
+    return out
