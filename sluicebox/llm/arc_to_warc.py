@@ -3,17 +3,19 @@
 ARC files begin with a version block, `filedesc://...`, whose version says how the header lines of the records are
 laid out: version 1 has URL, IP address, date, content type and length; version 2 adds result code, checksum,
 location, offset and file name before the length. Records are cut by their declared lengths. For each the converter
-makes up what a WARC record needs: an identifier from the record's content, an ISO timestamp, a type and SHA-1
-digests of block and payload. Records with equal payloads become revisits of one of them.
+makes up what a WARC record needs: an identifier from the record's content, an ISO timestamp, a type, and SHA-1 digests
+of block and payload. A version block becomes a warcinfo record, an HTTP message a response, anything else (dns and
+the like) a resource; responses with equal payloads become revisits of one of them. IP addresses are kept.
 
-Archives are written with the text writer, whose line separator is the end of a record, so they go to any file
-system that Spark writes to, gzipped, one file for each task; they are read back as whole files and inflated piece
-by piece.
+Archives are gzipped member by member, a record each, in files of bounded size. A file is one row of the text writer,
+so archives go to any file system that Spark writes to, with its commit of finished tasks; they are read back as whole
+files and inflated piece by piece.
 
 Defined cases. A null html is an empty payload. A page without url has the target `urn:page:<id>`; without id the id
 is left out of its record, and comes back as null. Pages that share the largest page_id of equal payloads are all
 responses; a null id counts as the smallest. White space in a url is written as %20. An empty table gives archives
-of no record. Extra columns are not archived.
+of no record. Extra columns are not archived. What can't be read (a line that is no header line, an unknown version, a
+record that is cut off, a broken gzip member) is left out, reported by `rejects`, and ends no job.
 """
 
 from __future__ import annotations
@@ -26,62 +28,75 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import bound_batches, sized, stage, staged_path
 
-#: The header fields of the two ARC versions, in order.
+#: The header fields of the two ARC versions, in order, and their names in a version block.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
     2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "file", "length"),
 }
+ARC_NAMES = {
+    1: "URL IP-address Archive-date Content-type Archive-length",
+    2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
+}
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_IP = ("", "-", "0.0.0.0")
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 #: The table has no capture time; one is given.
 CAPTURED = "20240101000000"
-WARC_END = "\r\n\r\n"
+#: A file is closed at so many bytes. Of a gzip member at most so much: the last byte of its length is zero then.
+FILE_BYTES, MEMBER_BYTES = 32 << 20, 8 << 20
 
 
-# --------------------------------------------------------------------------- writing ARC
+# --------------------------------------------------------------------------- files
 
 
-def http_block(page_id: Column, payload: Column) -> Column:
-    """The HTTP response that an archive holds for a page."""
-    number = F.when(page_id.isNotNull(), F.concat(F.lit("X-Page-Id: "), page_id.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-    return F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), number,
-        F.lit("Content-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload,
-    )
+def member(record: bytes) -> bytes:
+    """A record as a gzip member; a very long one as several."""
+    out = []
+    for at in range(0, max(1, len(record)), MEMBER_BYTES):
+        press = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [press.compress(record[at : at + MEMBER_BYTES]), press.flush()]
+    return b"".join(out)
 
 
-def version_block(version: int, name: str) -> str:
-    """The first record of an ARC file, without the separator that follows it."""
-    fields = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type "
-              "Result-code Checksum Location Offset Filename Archive-length"}[version]
-    body = f"{version} 0 sluicebox\n{fields}\n"
-    tail = {1: f"text/plain {len(body)}", 2: f"text/plain 200 - - 0 {name} {len(body)}"}[version]
-    return f"filedesc://{name} 0.0.0.0 {CAPTURED} {tail}\n{body}"
+def files(groups: Iterator[tuple[bytes, Iterator[bytes]]], most: int = FILE_BYTES) -> Iterator[pa.RecordBatch]:
+    """One row for each file: a head, then records until it has `most` bytes.
 
+    The last byte of a gzip member, which is zero, is left to the writer's line separator.
+    """
+    for head, records in groups:
+        held, size = [], 0
+        for record in records:
+            held.append(member(record))
+            size += len(held[-1])
+            if size >= most:
+                yield _file(head, held)
+                held, size = [], 0
+        if held:
+            yield _file(head, held)
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, page: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write pages to ARC files below `path`, one file for each task, each begun by its version block."""
-    payload = F.coalesce(F.col(html), F.lit(""))
-    target = F.coalesce(F.regexp_replace(F.trim(F.col(url)), r"\s", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("-"))))
-    block = http_block(F.col(page), payload)
-    middle = {1: F.lit(""), 2: F.lit("200 - - 0 pages.arc ")}[version]
-    head = F.concat(target, F.lit(f" 0.0.0.0 {CAPTURED} text/html "), middle, F.octet_length(block).cast("string"), F.lit("\n"))
-    lines = pages.select(F.concat(head, block).alias("value"))
 
-    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([version_block(version, "pages.arc")])], names=["value"])
-        yield from batches
+def _file(head: bytes, members: list[bytes]) -> pa.RecordBatch:
+    whole = b"".join([member(head), *members] if head else members)
+    return pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], names=["value"])
 
-    bound_batches(pages.sparkSession)
-    lines.mapInArrow(begun, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Rows of bytes, a file each."""
+    plain = rows.select(F.col("value").cast("string").alias("value"))  # the bytes as they are: nothing is decoded
+    plain.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-# --------------------------------------------------------------------------- reading
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """The files below `path`, one row each: their bytes."""
+    bound_batches(spark)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
 def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -89,18 +104,19 @@ def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    view, at, member = memoryview(data), 0, zlib.decompressobj(31)
-    while at < len(view) or member.unconsumed_tail:
-        piece = member.unconsumed_tail or view[at : at + step]
-        if not member.unconsumed_tail:
+    view, at, open_member = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(view) or open_member.unconsumed_tail:
+        piece = open_member.unconsumed_tail or view[at : at + step]
+        if not open_member.unconsumed_tail:
             at += len(piece)
-        yield member.decompress(piece, 4 * step)
-        if member.eof:
-            rest = member.unused_data
-            at -= len(rest)
-            if not view[at:].nbytes:
+        yield open_member.decompress(piece, 4 * step)
+        if open_member.eof:
+            at -= len(open_member.unused_data)
+            if at >= len(view):
                 return
-            member = zlib.decompressobj(31)
+            # A member is small as a rule: no more of the file is handed over than it may need.
+            step = 1 << 13
+            open_member = zlib.decompressobj(31)
 
 
 class Reader:
@@ -139,36 +155,98 @@ class Reader:
         return out
 
 
+# --------------------------------------------------------------------------- ARC
+
+
+def http_block(page_id: int | None, payload: bytes) -> bytes:
+    """The HTTP response that an archive holds for a page."""
+    number = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{number}Content-Length: {len(payload)}\r\n\r\n"
+    return head.encode() + payload
+
+
+def version_block(version: int, name: str) -> bytes:
+    """The first record of an ARC file."""
+    body = f"{version} 0 sluicebox\n{ARC_NAMES[version]}\n"
+    tail = {1: f"text/plain {len(body)}", 2: f"text/plain 200 - - 0 {name} {len(body)}"}[version]
+    return f"filedesc://{name} 0.0.0.0 {CAPTURED} {tail}\n{body}\n".encode()
+
+
+def arc_record(version: int, name: str, target: str, kind: str, block: bytes, ip: str = "0.0.0.0", date: str = CAPTURED) -> bytes:
+    """A record: its header line, its block, and the line end that parts records."""
+    middle = {1: "", 2: f"200 - - 0 {name} "}[version]
+    return f"{target} {ip} {date} {kind} {middle}{len(block)}\n".encode() + block + b"\n"
+
+
+def write_arc(pages: DataFrame, path: str, version: int = 1, page: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Write pages to ARC files below `path`, each begun by its version block."""
+    target = F.coalesce(F.regexp_replace(F.trim(F.col(url)), r"\s", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("-"))))
+    rows = pages.select(F.col(page).cast("long").alias("page"), target.alias("target"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"pages-{TaskContext.get().partitionId()}.arc"
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for number, address, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield arc_record(version, name, address, "text/html", http_block(number, payload))
+
+        yield from files(iter([(version_block(version, name), records())]))
+
+    bound_batches(pages.sparkSession)
+    write_files(rows.mapInArrow(run, "value binary"), path)
+
+
 @dataclass
 class ArcRecord:
-    """The header fields of an ARC record by name, and its block."""
+    """The header fields of an ARC record by name, and its block; or what is wrong with what was read."""
 
     fields: dict[str, str]
     block: bytes
+    error: str = ""
+
+
+def header(line: bytes, version: int) -> dict[str, str] | None:
+    """The fields of a header line, counted from the end, so that a url may hold spaces; None for any other line."""
+    parts, names = line.decode("utf-8", "replace").split(" "), ARC_FIELDS[version]
+    extra = len(parts) - len(names)
+    if extra < 0 or not parts[-1].isdigit():
+        return None
+    fields = dict(zip(names, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]))
+    return fields if fields["date"].isdigit() else None
 
 
 def read_arc(pieces: Iterator[bytes]) -> Iterator[ArcRecord]:
-    """The records of an ARC file after its version block, which says how their header lines are read.
+    """The records of an ARC file, its version block first, which says how the other header lines are read.
 
-    Without a version block version 1 holds. Fields are counted from the end, so a url may hold spaces.
+    Without a version block version 1 holds. After a line that is no header line the next one is looked for.
     """
-    reader, version = Reader(pieces), 1
-    while (line := reader.line()) is not None:
-        if not line.strip():
-            continue
-        parts = line.decode("utf-8", "replace").split(" ")
-        if line.startswith(b"filedesc://"):
-            body = reader.take(int(parts[-1]))
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
-            continue
-        names = ARC_FIELDS[version]
-        extra = len(parts) - len(names)
-        if extra < 0 or not parts[-1].isdigit():
-            raise ValueError(f"not a header line of ARC version {version}: {line[:80]!r}")
-        values = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
-        yield ArcRecord(dict(zip(names, values)), reader.take(int(parts[-1])))
+    reader, version, lost = Reader(pieces), 1, 0
+    try:
+        while (line := reader.line()) is not None:
+            if not line.strip():
+                continue
+            described = line.startswith(b"filedesc://")
+            fields = header(line, 2 if described and len(line.split(b" ")) >= len(ARC_FIELDS[2]) else 1 if described else version)
+            if fields is None:
+                if not lost:  # of a stretch of such lines the first
+                    yield ArcRecord({}, line, f"no header line of ARC version {version}")
+                lost += 1
+                continue
+            lost, length = 0, int(fields["length"])
+            block = reader.take(length)
+            if len(block) < length:
+                yield ArcRecord(fields, block, f"cut off: {len(block)} of {length} bytes")
+                continue
+            if described:
+                said = block.split(b" ", 1)[0]
+                if not said.isdigit() or int(said) not in ARC_FIELDS:
+                    yield ArcRecord(fields, block, f"unknown ARC version {said[:20]!r}")
+                    continue
+                version = int(said)
+            yield ArcRecord(fields, block)
+    except zlib.error as error:
+        yield ArcRecord({}, b"", f"broken gzip member: {error}")
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -180,27 +258,6 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in fields}, payload
 
 
-def read_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields, names in lower case, and the block of each WARC record."""
-    reader = Reader(pieces)
-    while (line := reader.line()) is not None:
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:80]!r}")
-        fields: dict[str, str] = {}
-        while line := reader.line():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        yield fields, reader.take(int(fields["content-length"]))
-
-
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """The files below `path`, one row each: their bytes."""
-    bound_batches(spark, 1)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-
-
 # --------------------------------------------------------------------------- converting
 
 
@@ -210,27 +267,54 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-CONVERTED = "id string, target string, date string, page_id long, payload_bytes long, payload_digest string, block_digest string"
+def record_id(*parts: str) -> str:
+    """An identifier that follows from a record's content."""
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(10).join(parts).encode()).digest()[:16], version=4)}"
+
+
+def base32(digest: bytes) -> str:
+    return "sha1:" + base64.b32encode(digest).decode()
+
+
+CONVERTED = (
+    "kind string, id string, target string, date string, ip string, type string, info string, page_id long, "
+    "payload_bytes long, payload_digest binary, error string"
+)
+_KINDS = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary(), pa.string(), pa.binary()]
+_NAMES = [*(x.split()[0] for x in CONVERTED.split(", ")), "block"]
 
 
 def _convert(with_block: bool):
+    """Archives to what becomes of their records; with their blocks, or without and with what could not be read."""
+    names, kinds = (_NAMES, _KINDS) if with_block else (_NAMES[:-1], _KINDS[:-1])
+
+    def converted(record: ArcRecord, info: str) -> tuple:
+        fields = record.fields
+        if record.error:
+            return ("rejected", None, fields.get("url"), None, None, None, info, None, len(record.block), None, record.error, record.block)
+        date, digest = iso_date(fields["date"]), hashlib.sha1(record.block).digest()
+        name = record_id(fields["url"], fields["date"], digest.hex())
+        if fields["url"].startswith("filedesc://"):
+            return ("warcinfo", info, fields["url"].removeprefix("filedesc://"), date, None, None, None, None, len(record.block), digest, None, record.block)
+        heads, payload = http_parts(record.block)
+        kind = "response" if heads or record.block.startswith(b"HTTP/") else "resource"
+        number = heads.get("x-page-id", "")
+        return (
+            kind, name, fields["url"], date, None if fields["ip"] in NO_IP else fields["ip"], fields["type"], info,
+            int(number) if number.lstrip("-").isdigit() else None, len(payload), hashlib.sha1(payload).digest(), None, record.block,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in CONVERTED.split(", ")] + ["block"] * with_block
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.binary()] * with_block
         for batch in batches:
             for content in batch.column(0):
-                rows, held = [], 0
+                rows, held, info = [], 0, None
                 for record in read_arc(inflate(content.as_py())):
-                    fields, payload = http_parts(record.block)
-                    block = hashlib.sha1(record.block).digest()
-                    key = "\n".join((record.fields["url"], record.fields["date"], block.hex()))
-                    number = fields.get("x-page-id", "")
-                    rows.append((
-                        f"urn:uuid:{uuid.UUID(bytes=hashlib.sha256(key.encode()).digest()[:16], version=4)}", record.fields["url"],
-                        iso_date(record.fields["date"]), int(number) if number.lstrip("-").isdigit() else None, len(payload),
-                        hashlib.sha1(payload).hexdigest(), "sha1:" + base64.b32encode(block).decode(),
-                        *([record.block] * with_block),
-                    ))
+                    if record.fields.get("url", "").startswith("filedesc://") and not record.error:
+                        info = record_id(record.fields["url"], record.fields["date"], hashlib.sha1(record.block).hexdigest())
+                    row = converted(record, info)
+                    if with_block and row[0] == "rejected":
+                        continue
+                    rows.append(row if with_block else row[:-1])
                     held += len(record.block) * with_block
                     if len(rows) == 4000 or held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -241,6 +325,51 @@ def _convert(with_block: bool):
     return run
 
 
+def warc_record(row: dict) -> bytes:
+    """The WARC record of a converted one, with the columns of the record that it repeats, if any."""
+    block, kind = row["block"], row["kind"]
+    if row["repeats"]:
+        kind, block = "revisit", block[: block.find(b"\r\n\r\n") + 4]
+    if kind == "warcinfo":
+        version = block.split(b" ", 1)[0].decode("ascii", "replace")
+        block = f"software: sluicebox\r\nformat: WARC File Format 1.1\r\nconverted-from: {row['target']}\r\narc-version: {version}\r\n".encode()
+    mime = {"warcinfo": "application/warc-fields", "resource": row["type"]}.get(kind, "application/http; msgtype=response")
+    fields = {
+        "WARC-Type": kind, "WARC-Record-ID": f"<{row['id']}>", "WARC-Date": row["date"], "WARC-Block-Digest": base32(hashlib.sha1(block).digest()),
+        "Content-Type": mime, "Content-Length": len(block),
+    }
+    if kind == "warcinfo":
+        fields["WARC-Filename"] = row["target"]
+    else:
+        fields |= {
+            "WARC-Target-URI": row["target"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": base32(row["payload_digest"]),
+            "WARC-Warcinfo-ID": row["info"] and f"<{row['info']}>", "X-Page-Id": row["page_id"], "X-Payload-Length": row["payload_bytes"],
+        }
+    if kind == "revisit":
+        fields |= {
+            "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{row['first_record']}>", "WARC-Refers-To-Target-URI": row["first_target"],
+            "WARC-Refers-To-Date": row["first_date"], "X-Refers-To-Page": row["first_id"],
+        }
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)
+    return b"".join([b"WARC/1.1\r\n", head.encode(), b"\r\n", block, b"\r\n\r\n"])
+
+
+def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records() -> Iterator[bytes]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns):
+                yield warc_record(dict(zip(batch.schema.names, values)))
+
+    yield from files(iter([(b"", records())]))
+
+
+def rejects(spark: SparkSession, arc_path: str) -> DataFrame:
+    """(target, payload_bytes, error) of what can't be read in the ARC files below `arc_path`."""
+    rows = archives(spark, arc_path).mapInArrow(_convert(False), CONVERTED)
+    return rows.where("kind = 'rejected'").select("target", "payload_bytes", "error")
+
+
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Write the records of the ARC files below `arc_path` as WARC files below `warc_path`.
 
@@ -249,71 +378,74 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """
     slim = archives(spark, arc_path).mapInArrow(_convert(False), CONVERTED)
     shared = (
-        slim.where(F.col("payload_bytes") >= REVISIT_BYTES)
+        slim.where((F.col("kind") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
         .groupBy(F.col("payload_digest").alias("shared_digest"))
-        .agg(F.count("*").alias("n"), F.max("page_id").alias("first_id"), F.max(F.struct("page_id", "id")).alias("first"))
+        .agg(F.count("*").alias("n"), F.max("page_id").alias("first_id"), F.max(F.struct("page_id", "id", "target", "date")).alias("first"))
         .where("n > 1")
-        .select("shared_digest", "first_id", F.col("first.id").alias("first_record"))
+        .select("shared_digest", "first_id", F.col("first.id").alias("first_record"), F.col("first.target").alias("first_target"), F.col("first.date").alias("first_date"))
     )
-    shared = sized(stage(shared, "shared-payloads"), 160)
     rows = archives(spark, arc_path).mapInArrow(_convert(True), CONVERTED + ", block binary").join(
-        shared, F.col("payload_digest") == F.col("shared_digest"), "left"
+        sized(stage(shared, "shared-payloads")), (F.col("payload_digest") == F.col("shared_digest")) & (F.col("kind") == "response"), "left"
     )
-    rows = rows.withColumn("block", F.col("block").cast("string"))  # the bytes as they are: nothing is decoded
-    revisit = F.col("shared_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    block = F.when(revisit, F.concat(F.element_at(F.split("block", "\r\n\r\n", 2), 1), F.lit("\r\n\r\n"))).otherwise(F.col("block"))
-
-    def field(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        field("WARC-Record-ID", F.concat(F.lit("<"), F.col("id"), F.lit(">"))),
-        field("WARC-Date", F.col("date")),
-        field("WARC-Target-URI", F.col("target")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        field("WARC-Block-Digest", F.when(~revisit, F.col("block_digest"))),
-        field("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        field("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), F.col("first_record"), F.lit(">")))),
-        field("X-Refers-To-Page", F.when(revisit, F.col("first_id"))),
-        field("X-Page-Id", F.col("page_id")),
-        field("X-Payload-Length", F.col("payload_bytes")),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        field("Content-Length", F.octet_length(block)),
-        F.lit("\r\n"),
-    )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", WARC_END).option("compression", "gzip").text(warc_path)
+    repeats = F.col("shared_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    write_files(rows.withColumn("repeats", repeats).drop("shared_digest", "error").mapInArrow(_warc, "value binary"), warc_path)
+
+
+# --------------------------------------------------------------------------- reading WARC
+
+
+def read_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The header fields, names in lower case, and the block of each WARC record."""
+    reader = Reader(pieces)
+    while (line := reader.line()) is not None:
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:80]!r}")
+        fields: dict[str, str] = {}
+        while line := reader.line():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        yield fields, reader.take(int(fields["content-length"]))
 
 
-LISTED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target string, date string"
+LISTED = (
+    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, "
+    "target string, date string, ip string, refers_to_record string"
+)
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def number(text: str | None) -> int | None:
         return int(text) if text else None
 
+    names = [x.split()[0] for x in LISTED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 5]
     for batch in batches:
         for content in batch.column(0):
             rows = []
             for fields, block in read_warc(inflate(content.as_py())):
                 kind = fields["warc-type"]
-                digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), number(fields.get("x-payload-length"))
-                if kind == "response":
-                    payload = http_parts(block)[1]
+                if kind == "revisit":
+                    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    size = number(fields.get("x-payload-length"))
+                else:
+                    payload = http_parts(block)[1] if kind == "response" else block
                     digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                 rows.append((
                     number(fields.get("x-page-id")), size, digest, kind, number(fields.get("x-refers-to-page")),
-                    fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), fields.get("warc-date"),
+                    fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-ip-address"),
+                    fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in LISTED.split(", ")]
+                if len(rows) == 4000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def listing(spark: SparkSession, warc_path: str) -> DataFrame:
-    """One row for each record of the WARC files below `warc_path`; responses are digested anew."""
+    """One row for each record of the WARC files below `warc_path`; responses and resources are digested anew."""
     return archives(spark, warc_path).mapInArrow(_list, LISTED)
 
 
@@ -323,4 +455,4 @@ def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:
     arc, warc = staged_path(spark, "arc"), staged_path(spark, "warc")
     write_arc(pages, arc, version)
     convert(spark, arc, warc)
-    return listing(spark, warc)
+    return listing(spark, warc).where(F.col("record_type").isin("response", "revisit"))
