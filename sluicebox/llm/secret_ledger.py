@@ -1,8 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of a text is a blob, addressed by the SHA-256 of its bytes. A ledger records which blob was scanned
-under which rule version, and what was found. A run scans only the pairs that the ledger lacks, appends them, and
-joins the findings back to every path (row) that holds the blob.
+Every version of a text is a blob, addressed by the SHA-256 of its bytes. A ledger has a row for each scan of a blob:
+the rules with their versions (marks) that were applied, and what they found. A run finds the pairs of blob and mark
+that the ledger lacks, for all rules in one pass over hashes, scans only those, appends them, and joins the findings
+back to every row that holds the blob: to all versions of all paths, if rows are versions of paths.
 
 Defined cases. Null text is the empty blob. Rows that repeat, and rows with null ids, get their blob's findings.
 An empty table adds nothing. Further columns pass through `redact`; the operator's own columns are prefixed.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import bound_batches, sized, stage, staged_path
+from sluicebox.llm.common import bound_batches, fresh, sized, stage, staged_path
 
 #: The base kinds in the order in which they are listed, their patterns and least lengths.
 BASE = ("assign", "access", "hex")
@@ -37,7 +38,7 @@ PATTERNS = {
 VERSIONS = {kind: 1 for kind in PATTERNS}
 KINDS = tuple(PATTERNS)
 
-FINDING = "blob binary, rule string, version int, starts array<int>, ends array<int>"
+LEDGER = "blob binary, scanned array<string>, found array<struct<mark:string,start:int,end:int>>"
 
 
 def spans(kind: str, text: str) -> list[tuple[int, int]]:
@@ -55,81 +56,93 @@ def blob_id(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def _scan(rules: list[str], versions: dict[str, int]):
+def mark(rule: str, version: int) -> str:
+    """The name of a rule version."""
+    return f"{rule}@{version}"
+
+
+def _scan(versions: dict[str, int]):
+    """Rows (blob, text, lacks) to rows of the ledger; bit i of `lacks` asks for the i-th rule of `versions`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = [(1 << i, rule, mark(rule, version)) for i, (rule, version) in enumerate(versions.items())]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for rule in rules:
-                    found = spans(rule, text or "")
-                    for column, value in zip(out, (blob, rule, versions[rule], [s for s, _ in found], [e for _, e in found])):
-                        column.append(value)
+            scanned, found = [], []
+            for text, lacks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                asked = [(rule, name) for bit, rule, name in rules if lacks & bit]
+                scanned.append([name for _, name in asked])
+                found.append([{"mark": name, "start": s, "end": e} for rule, name in asked for s, e in spans(rule, text or "")])
+            kind = pa.list_(pa.struct([("mark", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))],
-                names=["blob", "rule", "version", "starts", "ends"],
+                [batch.column(0), pa.array(scanned, pa.list_(pa.string())), pa.array(found, kind)], names=["blob", "scanned", "found"]
             )
 
     return run
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, rule: str, version: int, text: str = "text") -> DataFrame:
-    """(blob, text): one row for each blob of `docs` that the ledger lacks for a rule version.
+def unseen(docs: DataFrame, ledger: DataFrame | None, versions: dict[str, int], text: str = "text") -> DataFrame:
+    """(blob, text, lacks): one row for each blob of `docs` that the ledger lacks for some rule version.
 
-    Only hashes are shuffled to find the copies: texts stay where they are unless the list of copied blobs is too
-    large to broadcast.
+    Only hashes are shuffled to find them and their copies: texts stay where they are unless the list of the blobs
+    that are asked for, or on an empty ledger of the copied ones, is too large to broadcast.
     """
     rows = docs.select(blob_id(text).alias("blob"), F.col(text).alias("text"))
-    if ledger is not None:
-        known = ledger.where((F.col("rule") == rule) & (F.col("version") == version)).select("blob").distinct()
-        rows = rows.join(sized(known, 64), "blob", "left_anti")
-    copies = stage(rows.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1").select("blob"), "copied-blobs")
-    listed = sized(copies, 64)
-    single = rows.join(listed, "blob", "left_anti")
+    every = (1 << len(versions)) - 1
+    number = rows.groupBy("blob").agg(F.count("*").alias("n"))
+    if ledger is None:
+        listed = sized(stage(number.where("n > 1").select("blob"), "copied-blobs"))
+        single = rows.join(listed, "blob", "left_anti").withColumn("lacks", F.lit(every).cast("long"))
+        several = rows.join(listed, "blob", "left_semi").withColumn("lacks", F.lit(every).cast("long"))
+    else:
+        bits = [F.when(F.array_contains("scanned", mark(*v)), 1 << i).otherwise(0) for i, v in enumerate(versions.items())]
+        known = ledger.groupBy("blob").agg(F.bit_or(sum(bits[1:], start=bits[0]).cast("long")).alias("has"))
+        lacks = F.lit(every).cast("long").bitwiseXOR(F.coalesce("has", F.lit(0)).cast("long"))
+        asked = number.join(known, "blob", "left").select("blob", "n", lacks.alias("lacks")).where("lacks <> 0")
+        chosen = rows.join(sized(stage(asked, "unseen-blobs")), "blob")
+        single, several = (chosen.where(x).select("blob", "text", "lacks") for x in ("n = 1", "n > 1"))
     # A copied blob's text is taken once; what each task holds of it is combined before the shuffle.
-    several = rows.join(listed, "blob", "left_semi").groupBy("blob").agg(F.max("text").alias("text"))
-    return single.unionByName(several)
+    return single.unionByName(several.groupBy("blob").agg(F.max("text").alias("text"), F.max("lacks").alias("lacks")))
 
 
 def scan(docs: DataFrame, ledger_path: str, versions: dict[str, int] = VERSIONS, text: str = "text") -> DataFrame:
-    """Scan what the ledger at `ledger_path` lacks, append it there, and return the whole ledger.
-
-    Rules that lack the same blobs are scanned in one pass: those of an empty ledger, all together.
-    """
+    """Scan what the ledger at `ledger_path` lacks, append it there, and return the whole ledger."""
     spark = docs.sparkSession
     bound_batches(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(ledger_path)
     exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    ledger = spark.read.schema(FINDING).parquet(ledger_path) if exists else None
-    have = {} if ledger is None else {(r["rule"], r["version"]) for r in ledger.select("rule", "version").distinct().collect()}
-    fresh = [k for k in versions if (k, versions[k]) not in have]
-    groups = [(None, fresh)] if fresh else []
-    groups += [(ledger, [k]) for k in versions if k not in fresh]
-    for seen, rules in groups:
-        found = unseen(docs, seen, rules[0], versions[rules[0]], text).mapInArrow(_scan(rules, dict(versions)), FINDING)
-        found.write.mode("append").parquet(ledger_path)
-    return spark.read.schema(FINDING).parquet(ledger_path)
-
-
-def findings(docs: DataFrame, ledger: DataFrame, versions: dict[str, int] = VERSIONS, text: str = "text", keep=()) -> DataFrame:
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if exists else None
+    unseen(docs, ledger, versions, text).mapInArrow(_scan(dict(versions)), LEDGER).write.mode("append").parquet(ledger_path)
+    return spark.read.schema(LEDGER).parquet(ledger_path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, versions: dict[str, int] = VERSIONS, text: str = "text", keep=(), found: str = "found") -> DataFrame:
     """The columns `keep` of every row of `docs` and `found`, the sorted spans of its blob: (start, rank, end).
 
     `rank` is the place of the kind in KINDS. Only blobs with a finding are joined, so a clean corpus joins nothing.
     """
-    current = F.lit(False)
-    for kind, version in versions.items():
-        current = current | ((F.col("rule") == kind) & (F.col("version") == version))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("rule")).cast("int")
+    current = F.array(*[F.lit(mark(k, v)) for k, v in versions.items()])
+    rank = {mark(k, v): KINDS.index(k) + 1 for k, v in versions.items()}
+    of = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     hits = (
-        ledger.where(current & (F.size("starts") > 0))
-        .dropDuplicates(["blob", "rule", "version"])
-        .select("blob", rank.alias("rank"), F.arrays_zip("starts", "ends").alias("at"))
-        .select("blob", F.transform("at", lambda x: F.struct(x["starts"].alias("start"), F.col("rank").alias("rank"), x["ends"].alias("end"))).alias("at"))
+        ledger.select("blob", F.filter("found", lambda x: F.array_contains(current, x["mark"])).alias("at"))
+        .where(F.size("at") > 0)
+        .select("blob", F.transform("at", lambda x: F.struct(x["start"].alias("start"), of[x["mark"]].alias("rank"), x["end"].alias("end"))).alias("at"))
         .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("found"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     )
-    rows = docs.select(*keep, blob_id(text).alias("_blob"))
-    return rows.join(sized(stage(hits, "secret-hits"), 512).withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    blob, other = fresh([*keep, found], "_blob", "_hit")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(text).alias(blob))
+    listed = sized(stage(hits, "secret-hits")).toDF(other, found)
+    return rows.join(listed, F.col(blob) == F.col(other), "left").drop(blob, other)
+
+
+def occurrences(history: DataFrame, ledger: DataFrame, keys: tuple[str, ...], versions: dict[str, int] = VERSIONS, text: str = "text") -> DataFrame:
+    """The columns `keys` (path, version, ...), kind, start and end of every finding in every version of every path."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    rows = findings(history.select(*keys, text), ledger, versions, text, keys).where(F.col("found").isNotNull())
+    each = rows.select(*keys, F.explode("found").alias("span"))
+    return each.select(*keys, F.element_at(names, F.col("span.rank")).alias("kind"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
 def listing(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -185,10 +198,9 @@ def redact(docs: DataFrame, ledger_path: str | None = None, text: str = "text")
     """`docs` with the secrets in `text` masked. Texts without a finding don't pass through Python for it."""
     ledger = scan(docs, ledger_path or staged_path(docs.sparkSession, "secret-ledger"), text=text)
     columns = docs.columns
-    before = {"found": "_found_before"} if "found" in columns else {}
-    rest = [before.get(c, c) for c in columns if c != text]
-    at = findings(docs.withColumnsRenamed(before), ledger, text=text, keep=(*rest, text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.drop("found").schema.fields)
-    dirty = at.where(F.col("found").isNotNull()).mapInArrow(_masked, fields)
-    both = at.where(F.col("found").isNull()).drop("found").unionByName(dirty)
-    return both.withColumnsRenamed({v: k for k, v in before.items()}).select(*columns)
+    (found,) = fresh(columns, "_found")
+    rest = [c for c in columns if c != text]
+    at = findings(docs, ledger, text=text, keep=(*rest, text), found=found)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.drop(found).schema.fields)
+    dirty = at.where(F.col(found).isNotNull()).mapInArrow(_masked, fields)
+    return at.where(F.col(found).isNull()).drop(found).unionByName(dirty).select(*[F.col(f"`{c}`") for c in columns])
