@@ -7,11 +7,13 @@ held-out counts: every training token is held out once, with its own occurrence
 Texts are read in chunks of bounded size. A chunk sends the distinct words and word pairs it holds to the parts of a
 hash space, as one compressed run of sorted keys for each part; a part sums the training counts of its keys and
 answers every chunk with the counts of just the keys that it asked for. Then a chunk knows all counts that its tokens
-need. Neither a vocabulary nor a table of pairs is ever in one place, and nothing is pruned.
+need. Neither a vocabulary nor a table of pairs is ever in one place, and nothing is pruned. The number of parts follows
+that of the chunks, so a part stays of one size, and runs without a key are not sent, so there are never more runs than keys.
 
 Defined cases. Null and empty texts hold only the end token. Without training rows N and V are 0 and all of a token's
 probability is 1 / (V + 1); the base score's formula gives log10(1) = 0 for each token. Repeated rows count as often
-as they occur. A null doc_id belongs to the training part. Words are told apart by 56-bit hashes, pairs by 50 bits.
+as they occur. A null doc_id belongs to the training part. Words and pairs are told apart by 64-bit hashes. Columns of
+any name pass through; those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, mix, slices, stage_bucketed, text_bytes, words_of
+from sluicebox.llm.common import GOLDEN, LOWER, U64, bound_batches, fresh, mix, slices, stage_bucketed, text_bytes, words_of
 
-#: The bytes of text in a chunk; the number of parts follows spark.sql.shuffle.partitions.
-CHUNK_BYTES = 6 << 20
-#: Bits of the hashes by which words and pairs of words are told apart.
-WORD_BITS, PAIR_BITS = 56, 50
+#: The bytes of text in a chunk, and of text whose keys are in a part.
+CHUNK_BYTES, PART_BYTES = 6 << 20, 16 << 20
 #: Fixed hashes of the end token and of the context before the first word: they stand for no word.
 END, START = U64(0x5E4D), U64(0x57A7)
 #: Contexts are put into buckets by the power of two of their count; the last takes all larger ones.
@@ -41,6 +42,8 @@ LOWEST = 40 * STEP
 
 ASK = "chunk long, part int, keys binary, n_keys int, counts binary"
 ANSWER = "chunk long, part int, counts binary, n_keys int, tokens long, types long"
+#: The chunk that stands for the parts' totals.
+TOTALS = -1
 
 
 # --------------------------------------------------------------------------- compact columns
@@ -86,7 +89,7 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends = np.cumsum(counts + 1) - 1
     word = np.ones(len(out), bool)
     word[ends] = False
-    out[word] = hashes >> U64(64 - WORD_BITS)
+    out[word] = hashes
     out[ends] = END
     return out, counts + 1
 
@@ -106,7 +109,7 @@ class Chunk:
         self.before_at[1:] = word_at[:-1]
         self.before_at[self.firsts] = len(words) - 1  # START is kept last
         self.order = np.argsort(words, kind="stable")
-        keys = mix(words[self.before_at] * GOLDEN + words[word_at]) >> U64(64 - PAIR_BITS)
+        keys = mix(words[self.before_at] * GOLDEN + words[word_at])
         self.pairs, self.pair_at = np.unique(keys, return_inverse=True)
 
     @classmethod
@@ -187,17 +190,18 @@ def _chunk(size: int):
 
 
 def _ask(parts: int):
-    """For each chunk and part two rows: its sorted word keys, its sorted pair keys, with their training counts."""
+    """For each chunk its sorted word keys and pair keys with their training counts, cut into parts; none is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([p * (1 << 64) // parts for p in range(1, parts)], U64)
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 chunk, rows = Chunk.read(body.as_py()), []
-                asked = (chunk.words[chunk.order], chunk.word_counts(), WORD_BITS), (chunk.pairs, chunk.pair_counts(), PAIR_BITS)
-                for kind, (keys, counts, bits) in enumerate(asked):
-                    bounds = np.array([p * (1 << bits) // parts for p in range(1, parts)], U64)
-                    edges = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                    for p, (a, b) in enumerate(zip(edges, edges[1:])):
+                asked = (chunk.words[chunk.order], chunk.word_counts()), (chunk.pairs, chunk.pair_counts())
+                for kind, (keys, counts) in enumerate(asked):
+                    edges = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+                    for p in np.flatnonzero(np.diff(edges)).tolist():
+                        a, b = edges[p], edges[p + 1]
                         rows.append((name, 2 * p + kind, pack_sorted(keys[a:b]), b - a, pack(counts[a:b])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))],
@@ -208,35 +212,29 @@ def _ask(parts: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The training counts of a part, for each chunk those of its own keys in order."""
-    sizes = table.column("n_keys").to_pylist()
+    """The training counts of a part, for each chunk those of its own keys in order; for a part of words its totals too."""
+    sizes, part = table.column("n_keys").to_pylist(), table.column("part")[0].as_py()
     keys = [unpack_sorted(k, n) for k, n in zip(table.column("keys").to_pylist(), sizes)]
     counts = [unpack(c, n) for c, n in zip(table.column("counts").to_pylist(), sizes)]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts).astype(np.float64), len(every)).astype(U64)
-    tokens = types = 0
-    if table.column("part")[0].as_py() % 2 == 0:
+    rows = [(c, part, pack(a), n, 0, 0) for c, a, n in zip(table.column("chunk").to_pylist(), np.split(total[place], np.cumsum(sizes)[:-1]), sizes)]
+    if part % 2 == 0:
         real = every != START
-        tokens, types = int(total[real].sum()), int((total[real] > 0).sum())
-    answers = np.split(total[place], np.cumsum(sizes)[:-1])
-    return pa.table(
-        {
-            "chunk": table.column("chunk"), "part": table.column("part"),
-            "counts": pa.array([pack(a) for a in answers], pa.binary()), "n_keys": table.column("n_keys"),
-            "tokens": pa.array([tokens] * len(sizes), pa.int64()), "types": pa.array([types] * len(sizes), pa.int64()),
-        }
-    )
+        rows.append((TOTALS, part, b"", 0, int(total[real].sum()), int((total[real] > 0).sum())))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["chunk", "part", "counts", "n_keys", "tokens", "types"])
 
 
 class Counted:
     """A chunk with the training counts of its tokens, contexts and pairs."""
 
-    def __init__(self, body: bytes, answers: list[tuple]):
+    def __init__(self, body: bytes, answers: list[tuple], totals: tuple[int, int]):
         chunk = Chunk.read(body)
         self.rest, self.sizes, self.firsts, self.taught, self.rows = chunk.rest, chunk.sizes, chunk.firsts, chunk.taught, len(chunk.sizes)
         answers = sorted(answers)
-        sums = [np.concatenate([unpack(c, n) for p, c, n, _, _ in answers if p % 2 == kind]).astype(np.int64) for kind in (0, 1)]
-        self.n, self.v = sum(a[3] for a in answers), sum(a[4] for a in answers)
+        sums = [np.concatenate([unpack(c, n) for p, c, n in answers if p % 2 == kind]).astype(np.int64) for kind in (0, 1)]
+        self.n, self.v = totals
         words = np.empty(len(chunk.words), np.int64)
         words[chunk.order] = sums[0]
         self.word, self.context, self.pair = words[chunk.word_at], words[chunk.before_at], sums[1][chunk.pair_at]
@@ -263,13 +261,15 @@ def deleted(counted: Counted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket_of(context), step_of(f2), step_of(f1)
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for counted in read(batch):
-            bucket, s2, s1 = deleted(counted)
-            cell, n = np.unique((bucket * LOWEST + s2) * LOWEST + s1, return_counts=True)
-            types = np.full(len(cell), counted.v)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (cell, n, types)], names=["cell", "n", "types"])
+def _held(totals: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counted in read(batch, totals):
+                bucket, s2, s1 = deleted(counted)
+                cell, n = np.unique((bucket * LOWEST + s2) * LOWEST + s1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (cell, n)], names=["cell", "n"])
+
+    return run
 
 
 def weights(cells: np.ndarray, n: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
@@ -311,10 +311,10 @@ def token_probability(counted: Counted, mixture: np.ndarray) -> np.ndarray:
     return a[:, 0] * f2 + a[:, 1] * f1 + a[:, 2] / (counted.v + 1)
 
 
-def _scores(mixture: np.ndarray):
+def _scores(mixture: np.ndarray, totals: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in read(batch):
+            for c in read(batch, totals):
                 base = np.log10((c.word + 0.5) / (c.n + 0.5 * (c.v + 1)))
                 model = np.log10(token_probability(c, mixture))
                 known = (c.word > 0).astype(np.int64)
@@ -330,36 +330,50 @@ def _scores(mixture: np.ndarray):
     return run
 
 
-def read(batch: pa.RecordBatch) -> Iterator[Counted]:
+def read(batch: pa.RecordBatch, totals: tuple[int, int]) -> Iterator[Counted]:
     """The chunks of a batch of (body, answers)."""
     for body, answers in zip(batch.column(0), batch.column(1)):
-        yield Counted(body.as_py(), [(a["part"], a["counts"], a["n_keys"], a["tokens"], a["types"]) for a in answers.as_py()])
+        yield Counted(body.as_py(), [(a["part"], a["counts"], a["n_keys"]) for a in answers.as_py()], totals)
+
+
+@dataclass
+class Corpus:
+    """(body, answers) for each chunk of some documents: the documents, and the training counts of all their tokens.
+
+    `totals` are the number of training tokens and that of different ones.
+    """
+
+    chunks: DataFrame
+    totals: tuple[int, int]
 
 
-def counted(docs: DataFrame, train: str, text: str = "text", size: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
-    """(body, answers) for each chunk of `docs`: its documents and the training counts of all their tokens."""
+def counted(docs: DataFrame, train: str, text: str = "text", size: int = CHUNK_BYTES, parts: int | None = None) -> Corpus:
+    """The documents in chunks, with their counts."""
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = [c for c in docs.columns if c not in (train, text)]
-    rows = docs.select(*rest, F.coalesce(train, F.lit(True)).alias("_train"), F.col(text).alias("_text"))
-    bodies = stage_bucketed(rows.mapInArrow(_chunk(size), "chunk long, body binary"), "lm-chunks", "chunk", parts)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # from here a row is a chunk
+    teaches, body = fresh(rest, "_train", "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(train, F.lit(True)).alias(teaches), F.col(text).alias(body))
+    bodies = stage_bucketed(rows.mapInArrow(_chunk(size), "chunk long, body binary"), "lm-chunks", "chunk", buckets)
+    parts = parts or max(buckets, bodies.count() * size // PART_BYTES)
     answers = bodies.mapInArrow(_ask(parts), ASK).groupBy("part").applyInArrow(_answer, ANSWER)
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "n_keys", "tokens", "types")).alias("answers"))
-    answered = stage_bucketed(gathered, "lm-answers", "chunk", parts)
+    answered = stage_bucketed(gathered, "lm-answers", "chunk", buckets)
+    found = answered.where(F.col("chunk") == TOTALS).select(F.explode("answers").alias("a")).agg(F.sum("a.tokens"), F.sum("a.types")).first()
+    slim = answered.select("chunk", F.transform("answers", lambda a: F.struct(a["part"].alias("part"), a["counts"].alias("counts"), a["n_keys"].alias("n_keys"))).alias("answers"))
     # Both tables lie in equal buckets: the chunks are not shuffled, however often they are read.
-    return bodies.hint("merge").join(answered, "chunk").select("body", "answers")
+    return Corpus(bodies.hint("merge").join(slim, "chunk").select("body", "answers"), (found[0] or 0, found[1] or 0))
 
 
-def learn(chunks: DataFrame) -> np.ndarray:
+def learn(corpus: Corpus) -> np.ndarray:
     """The mixture weights, learned from the held-out counts of all chunks.
 
     What reaches the driver is a table of steps, bounded by buckets x steps x steps.
     """
-    held = chunks.mapInArrow(_held, "cell long, n long, types long")
-    cells = held.groupBy("cell").agg(F.sum("n").alias("n"), F.max("types").alias("types")).toPandas()
-    return weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), int(cells["types"].max()) if len(cells) else 0)
+    held = corpus.chunks.mapInArrow(_held(corpus.totals), "cell long, n long")
+    cells = held.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    return weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), corpus.totals[1])
 
 
 def score(docs: DataFrame, train: str, text: str = "text", size: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
@@ -369,10 +383,7 @@ def score(docs: DataFrame, train: str, text: str = "text", size: int = CHUNK_BYT
     """
     results = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = {x.split()[0] for x in results.split(", ")}
-    docs = docs.drop(*(c for c in docs.columns if c in names))
-    bound_batches(docs.sparkSession)
-    rest = docs.drop(train, text)
-    chunks = counted(docs, train, text, size, parts)
-    mixture = learn(chunks)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
-    return chunks.mapInArrow(_scores(mixture), fields + results)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in names and c not in (train, text)))
+    corpus = counted(docs, train, text, size, parts)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop(train, text).schema.fields)
+    return corpus.chunks.mapInArrow(_scores(learn(corpus), corpus.totals), fields + results)
