@@ -11,8 +11,10 @@ sequence of pieces is what the merges give exactly if no two neighbours are such
 
 Defined cases. Null and empty texts have no ids; decoding no ids gives an empty text, and null ids a null text.
 Characters that no piece holds become their bytes. A text that holds U+2581, the mark for a space, reads back with
-spaces in its place: `lossless` says so. Words of over 128 characters, and runs of several spaces, whose pieces share
-one score, take the exact merges with a heap. Other columns, also with null or repeated ids, pass through.
+spaces in its place: `lossless` says so. Words of over 128 characters advance together too, the longest first, and
+leave when they end. Words behind runs of several spaces, whose pieces share one score, which the path score can't
+tell apart, take the exact merges with a heap, as would a word without a path. Other columns, also with null or
+repeated ids, pass through.
 """
 
 from __future__ import annotations
@@ -33,12 +35,17 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = U64(0x9DDFEA08EB382D69)
 NEVER = np.int64(1 << 40)
-#: Longer words go through the heap; more cached words than this are forgotten.
-LONG, CACHE = 128, 400_000
+#: Longer words advance with others of their kind, of at most so many characters in all; more cached words are forgotten.
+LONG, CELLS, CACHE = 128, 1 << 18, 400_000
 #: Units that no merge crosses: a line feed, a word with the spaces before it, spaces before a line feed or the end.
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 
 
+def codes(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+
+
 class Pieces:
     """The tables of a model: keys, ranks and merges of its pieces."""
 
@@ -195,9 +202,14 @@ class Pieces:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return ok
 
-    def viterbi(self, points: np.ndarray) -> np.ndarray:
-        """The piece that ends at each position of the best path of words of one length, -1 inside a piece."""
+    def viterbi(self, points: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The piece that ends at each position of the best path of each word, -1 inside a piece.
+
+        The words are of one length; or of `sizes`, the longest first, and padded. A word without a path is -2.
+        """
         n, size = points.shape
+        sizes = np.full(n, size) if sizes is None else sizes
+        going = np.searchsorted(-sizes, -np.arange(size + 1), "right")  # words of at least so many characters
         prefix = np.zeros((n, size + 1), U64)
         for j in range(size):
             prefix[:, j + 1] = prefix[:, j] * BASE + points[:, j] + U64(1)
@@ -205,9 +217,10 @@ class Pieces:
         score[:, 0] = 0
         last = np.full((n, size + 1), -1, np.int32)
         for j in range(1, size + 1):
+            k = int(going[j])
             lengths = np.arange(1, min(j, self.longest) + 1)
-            hashes = prefix[:, j, None] - prefix[:, j - lengths] * self.powers[lengths]
-            piece = self.probe(hashes.ravel()).reshape(n, len(lengths))
+            hashes = prefix[:k, j, None] - prefix[:k, j - lengths] * self.powers[lengths]
+            piece = self.probe(hashes.ravel()).reshape(k, len(lengths))
             piece[:, 0] = np.where(piece[:, 0] < 0, self.unknown, piece[:, 0])
             word, at = np.nonzero((piece >= 0) & self.alone[piece])
             found, begin = piece[word, at], j - lengths[at]
@@ -215,20 +228,19 @@ class Pieces:
             fits = np.ones(len(word), bool)
             inner = np.flatnonzero(begin > 0)
             fits[inner] = self.apart(previous[inner], found[inner])
-            path = np.full((n, len(lengths)), -(1 << 20), np.int64)
+            path = np.full((k, len(lengths)), -(1 << 20), np.int64)
             path[word, at] = score[word, begin] - ~fits
             best = path.argmax(axis=1)
-            rows = np.arange(n)
-            score[:, j], last[:, j] = path[rows, best], piece[rows, best]
+            rows = np.arange(k)
+            score[:k, j], last[:k, j] = path[rows, best], piece[rows, best]
         ends = np.full((n, size), -1, np.int32)
-        at, rows = np.full(n, size), np.arange(n)
+        at, rows = sizes.copy(), np.arange(n)
         while len(rows):
             piece = last[rows, at]
             ends[rows, at - 1] = piece
             at = at - self.sizes[piece]
             rows, at = rows[at > 0], at[at > 0]
-        if (score[:, size] != 0).any():
-            raise AssertionError("no path of the merges was found")
+        ends[score[np.arange(n), sizes] != 0] = -2
         return ends
 
     def ids(self, pieces: list[int]) -> list[int]:
@@ -252,23 +264,45 @@ class Pieces:
             parts.append(ids.astype(np.int32))
             total += len(ids)
 
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) > LONG or w.startswith(MARK * 2):
-                found = np.array(self.ids(self.merge(w)), np.int32)
+        def merged(at: list[int]) -> None:
+            for i in at:
+                found = np.array(self.ids(self.merge(words[i])), np.int32)
                 put([i], found, np.array([len(found)]))
-            else:
-                by_size.setdefault(len(w), []).append(i)
-        for size, group in by_size.items():
-            text = "".join(words[i] for i in group)
-            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), size)
-            ends = self.viterbi(points.astype(U64))
+
+        def advance(group: np.ndarray, points: np.ndarray, lengths: np.ndarray | None = None) -> None:
+            ends = self.viterbi(points, lengths)
+            lost = ends[:, 0] == -2
+            if lost.any():
+                merged(group[lost].tolist())
+                group, points, ends = group[~lost], points[~lost], ends[~lost]
             row, at = np.nonzero(ends >= 0)
-            put(np.array(group), ends[row, at], np.bincount(row, minlength=len(group)))
+            put(group, ends[row, at], np.bincount(row, minlength=len(group)))
             for k in np.flatnonzero((ends == self.unknown).any(axis=1)):
                 made = [-1 - int(points[k, w]) if ends[k, w] == self.unknown else int(ends[k, w]) for w in np.flatnonzero(ends[k] >= 0)]
                 found = np.array(self.ids(made), np.int32)
                 put([group[k]], found, np.array([len(found)]))
+
+        by_size: dict[int, list[int]] = {}
+        long, spaced = [], []
+        for i, w in enumerate(words):
+            if w.startswith(MARK * 2):
+                spaced.append(i)
+            elif len(w) > LONG:
+                long.append(i)
+            else:
+                by_size.setdefault(len(w), []).append(i)
+        merged(spaced)
+        for size, group in by_size.items():
+            advance(np.array(group), codes("".join(words[i] for i in group)).reshape(len(group), size))
+        long.sort(key=lambda i: -len(words[i]))
+        while long:
+            size = len(words[long[0]])
+            group, long = long[: max(1, CELLS // size)], long[max(1, CELLS // size) :]
+            padded = np.zeros((len(group), size), U64)
+            lengths = np.array([len(words[i]) for i in group])
+            for k, i in enumerate(group):
+                padded[k, : lengths[k]] = codes(words[i])
+            advance(np.array(group), padded, lengths)
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), starts, sizes
 
     # ------------------------------------------------------------------ texts
