@@ -4,9 +4,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluicebox.llm import decontaminate, probminhash, queries
+from sluicebox.llm import decontaminate, line_rules, probminhash, queries
 from sluicebox.llm.common import stage
 from sluicebox.session import TABLES, table
 from tests.llm.test_methods import brute_classes, brute_rules, brute_spans
@@ -22,7 +23,7 @@ def test_stages(spark, sf_dir):
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
     rules, near, clean, secret, tokens = kept
     source = [(r.doc_id, r.text, r.source) for r in table(spark, sf_dir, "documents").collect()]
-    assert set(rules) == {x[0] for x in brute_rules(source, 20) if x[7]}
+    assert set(rules) == {x[0] for x in brute_rules(source, line_rules.Limits()) if x[7]}
     ids = sorted(rules)
     roots = brute_classes([rules[i].text for i in ids])
     assert set(near) == {ids[k] for k in set(roots)}
@@ -43,6 +44,23 @@ def test_run_is_the_last_stage(spark, sf_dir):
     assert rows.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "lossless"] and rows.count() > 0
 
 
+def test_stages_keep_other_columns(spark):
+    rows = [(1, " ".join(f"word{i}" for i in range(30)), "en", "a", 1), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["_node", "_words", "_LINES", "_key", "_gone", "_lost", "_found", "node", "kept", "h", "row", "blob", "band"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"my {c}"))
+    columns = docs.columns
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        docs = stage(function(spark, docs, "/root/testdata/sf0.001"), "test-stage")
+        assert docs.columns == columns
+        (only,) = docs.collect()
+        assert only.doc_id == 1 and all(only[c] == f"my {c}" for c in names)
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, none, "/root/testdata/sf0.001").collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
