@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm import decontaminate, line_rules, pieces, probminhash, secret_ledger
-from sluicebox.llm.common import stage
+from sluicebox.llm.common import release, scope, stage, staged_path
 from sluicebox.session import table
 
 
@@ -60,7 +60,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, one after the other."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = staged_path(spark, name.replace(" ", "-"))
+        with scope(spark):  # what the stage itself has staged goes with it
+            docs = stage(function(spark, docs, sf_dir), name, path)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
