@@ -306,11 +306,17 @@ def cross_links(texts: DataFrame, bands: DataFrame, found: DataFrame, weights: s
     parts and within the part of the rest, if their levels are the same or next to each other: texts further apart
     can't be similar. What is one class already is not compared again.
     """
-    classed = texts.select("node").join(found.select("node", F.col("root").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    members = bands.join(classed, "node").groupBy("band", "node", "cls").agg(F.min("level").alias("level"))
+    classed = texts.select("node", F.col("root").alias("family")).join(found.select("node", F.col("root").alias("cls")), "node", "left")
+    classed = stage(classed.withColumn("cls", F.coalesce("cls", "node")), "classed")
+    # Only a band with a text outside its family's largest class can be open, and most texts are in that class.
+    largest = classed.groupBy("family", "cls").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("cls", F.struct("n", "cls")).alias("largest"))
+    minor = classed.join(largest, "family").where("cls <> largest").select("node")
+    near = bands.join(sized(stage(minor, "minor-texts")), "node").select("band").distinct()
+    few = bands.join(sized(stage(near, "minor-bands")), "band").groupBy("band", "node").agg(F.min("level").alias("level"))
+    members = few.join(classed.select("node", "cls"), "node")
     several = members.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("band")
     # Bands of the same texts are one.
-    texts_of = members.join(several, "band")
+    texts_of = stage(members.join(several, "band"), "open-texts")
     same = texts_of.groupBy("band").agg(F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
     one = same.groupBy("sum", "n").agg(F.min("band").alias("band")).select("band")
     rows = stage(texts_of.join(one, "band").select("band", "node", "cls", "level"), "open-bands")
