@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import row_signature
-from sluicebox.operators.order import beside, quantiles
+from sluicebox.operators.order import beside, middles, quantiles
+from sluicebox.session import stage
 
 METHODS = ("median", "mode", "group_median", "missingness_indicator")
 
@@ -15,29 +16,18 @@ METHODS = ("median", "mode", "group_median", "missingness_indicator")
 def median_decimal(df: DataFrame, column: str, scale: int = 6, by: list[str] | None = None) -> DataFrame:
     """(by..., median): the exact decimal median, the mean of the two middle values where their number is even.
 
-    Distinct values are counted first, so the ranking sorts values and not rows.
+    Distinct values are counted first and ranked in ranges, so that no task sorts all values, nor all of a large group.
     """
-    keys = by or []
-    x = F.col(column).cast(f"decimal(30,{scale})")
-    values = df.where(x.isNotNull()).groupBy(*keys, x.alias("x")).agg(F.count("*").alias("n"))
-    order = W.partitionBy(*keys).orderBy("x")
-    total = F.sum("n").over(W.partitionBy(*keys))
-    ranked = values.select(*keys, "x", F.sum("n").over(order).alias("upto"), "n", total.alias("total"))
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
-    return ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("x"))) + F.max(F.when(holds(high), F.col("x")))) / 2).alias("median"))
+    keys, x = by or [], F.col(column).cast(f"decimal(30,{scale})")
+    counts = stage(df.where(x.isNotNull()).groupBy(*keys, x.alias("x")).agg(F.count("*").alias("n")), "median-counts")
+    return middles(counts, "x", keys).select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def median_by(df: DataFrame, column: str, group: str) -> DataFrame:
-    """(group, median) by linear interpolation; a large group is sorted, which spills, and never held in memory."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("g"), F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    run = F.sum("n").over(W.partitionBy("g").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = values.groupBy(F.col("g").alias("t_g")).agg(F.sum("n").alias("total"))
-    rows = values.withColumn("upto", run).join(total, F.col("g").eqNullSafe(F.col("t_g")))
-    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    middle = lambda k: F.max(F.when(holds(k), F.col("x")))
-    return rows.groupBy("g").agg(((middle(low) + middle(high)) / 2).alias("median"))
+    """(g, median) by linear interpolation; also a group of most rows is ranked in ranges."""
+    x = F.col(column).cast("double")
+    counts = stage(df.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("g"), x.alias("x")).agg(F.count("*").alias("n")), "median-counts")
+    return middles(counts, "x", ["g"]).select("g", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def indicator(df: DataFrame, column: str) -> DataFrame:

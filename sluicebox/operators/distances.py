@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sluicebox.operators.order import beside, quantiles
 
-#: Numbers in a block of queries: 8 MB.
-BLOCK_NUMBERS = 1 << 20
+#: Numbers in a block of queries, of at least so many numbers each, and distances that are computed at once: 8 MB each.
+BLOCK_NUMBERS, LEAST_WIDTH, WORK = 1 << 20, 64, 1 << 20
 
 
 def vector(*columns: str) -> Column:
@@ -41,10 +41,11 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, others: bool):
                 continue
             names = batch.column(0).to_numpy(zero_copy_only=False)
             points = np.stack(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            for a in range(0, len(points), 2048):
-                part, part_names = points[a : a + 2048], names[a : a + 2048]
+            step = max(1, WORK // max(1, n))
+            for a in range(0, len(points), step):
+                part, part_names = points[a : a + step], names[a : a + step]
                 squares = np.zeros((n, len(part)))
-                for j in range(queries.shape[1]):  # by dimension: exact zeros stay zero, and memory is n x 2048
+                for j in range(queries.shape[1]):  # by dimension: exact zeros stay zero, and memory is n x step
                     squares += (queries[:, j, None] - part[None, :, j]) ** 2
                 if others:
                     squares[ids[:, None] == part_names[None, :]] = np.inf
@@ -69,7 +70,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, exclude_same_id: bo
     for r in queries.select("id", "vector").toLocalIterator():
         block.append(r)
         width = max(1, len(r["vector"]))
-        if len(block) * width >= BLOCK_NUMBERS:
+        if len(block) * max(width, LEAST_WIDTH) >= BLOCK_NUMBERS:
             part = _search(block, rows, k, exclude_same_id)
             out, block = part if out is None else out.unionByName(part), []
     if block or out is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions.cells import number
 from sluicebox.functions.digests import row_signature
 from sluicebox.operators import pii
-from sluicebox.operators.distances import closest_record_stats, nearest, vector
+from sluicebox.operators.distances import nearest, vector
 from sluicebox.operators.order import beside
 from sluicebox.operators.rules import Rule, rule_summary
 
@@ -18,7 +18,7 @@ NOT_COMPUTED = (
     "synthetic_distribution_similarity", "synthetic_correlation_preservation", "synthetic_missingness_comparison",
     "synthetic_tstr", "synthetic_trts", "synthetic_shap_comparison", "synthetic_tabsyndex",
 )
-MIN_DISTANCE, NEIGHBOR_EPSILON = 1e-6, 1e-6
+MIN_DISTANCE, NEIGHBOR_EPSILON, COLLISION = 1e-6, 1e-6, 1e-9
 
 
 def gate(one: DataFrame, name: str, value: Column, failed: Column, severity: str = "BLOCKER") -> DataFrame:
@@ -81,15 +81,25 @@ def synthetic_gates(synthetic: DataFrame, real: DataFrame, features: list[str],
     # Copies are found by hash; distances are computed for what is left over, in blocks.
     s = synthetic.select(F.xxhash64(F.col(id_column).cast("string")).alias("id"), vector(*features).alias("vector"))
     r = real.select(F.xxhash64(F.col(id_column).cast("string")).alias("id"), vector(*features).alias("vector"))
-    stats = closest_record_stats(s, r)
     copies = exact_copies(synthetic, real, features).agg(F.count("*").alias("n"))
-    near = nearest(s, r).agg(F.count_if(F.col("distance") <= NEIGHBOR_EPSILON).alias("n"))
-    return (
-        gate(stats, "synthetic_dcr", F.col("min_distance"), (F.col("min_distance") < least) | (F.col("collisions") > 0))
-        .unionByName(gate(copies, "synthetic_exact_duplicate_to_real", F.col("n"), F.col("n") > 0))
-        .unionByName(gate(near, "synthetic_nearest_neighbor_privacy", F.col("n"), F.col("n") > 0))
+    d = F.col("distance")
+    one = nearest(s, r).agg(
+        F.min(d).alias("least"), F.coalesce(F.bool_or((d < least) | (d <= COLLISION)), F.lit(False)).alias("close"),
+        F.count_if(d <= NEIGHBOR_EPSILON).alias("near"),
     )
 
+    def row(name: str, value: Column, failed: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("gate"), F.when(failed, "FAILED").otherwise("PASSED").alias("status"), F.when(failed, "BLOCKER").otherwise("INFO").alias("severity"),
+            value.cast("double").alias("value"), failed.alias("blocks"),
+        )
+
+    # Both gates are read off one row of one search.
+    found = one.select(F.inline(F.array(
+        row("synthetic_dcr", F.col("least"), F.col("close")), row("synthetic_nearest_neighbor_privacy", F.col("near"), F.col("near") > 0)
+    )))
+    return found.unionByName(gate(copies, "synthetic_exact_duplicate_to_real", F.col("n"), F.col("n") > 0))
+
 
 def immutability_gate(spark, path: str, digest: str) -> DataFrame:
     """Whether the files below a path still have the digest that `sources.files.tree_digest` gave."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions import cells
 from sluicebox.functions.digests import row_signature
-from sluicebox.operators.order import quantiles
+from sluicebox.operators.order import quantiles, value_counts
 
 #: Names by which columns get their roles.
 TARGETS = ("is_fraud", "label", "target")
@@ -146,9 +146,9 @@ def duplicate_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def fences(df: DataFrame, columns: list[str]) -> DataFrame:
+def fences(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """(column, n, q1, q3, low, high): quartiles by linear interpolation, and fences 1.5 interquartile ranges off."""
-    stats = quantiles(df, columns, [0.25, 0.75])
+    stats = quantiles(df, columns, [0.25, 0.75], counts)
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return stats.select("column", "n", q1.alias("q1"), q3.alias("q3"), (q1 - FENCE * (q3 - q1)).alias("low"), (q3 + FENCE * (q3 - q1)).alias("high"))
 
@@ -164,9 +164,12 @@ def outliers(df: DataFrame, columns: list[str], id_column: str) -> DataFrame:
 
 def outlier_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """The fences of each column and the number of values beyond them."""
-    bounds = fences(df, columns)
-    beyond = outliers(df.withColumn("_id", F.lit(0)), columns, "_id").groupBy("column").agg(F.count("*").alias("outlier_count"))
-    return bounds.join(beyond, "column", "left").withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0)))
+    counts = value_counts(df, columns)
+    bounds = fences(df, columns, counts)
+    beyond = F.sum(F.when((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), counts["n"]).otherwise(0))
+    # One row for each column: a side of a fixed size.
+    joined = counts.join(F.broadcast(bounds.withColumnRenamed("n", "_known")), "column")
+    return joined.groupBy("column", F.col("_known").alias("n"), "q1", "q3", "low", "high").agg(beyond.alias("outlier_count"))
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import row_signature
+from sluicebox.session import staged_path
 
 #: The splits in their order, their shares and the seed.
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -89,17 +88,6 @@ def assign_groups(groups: dict[str, Counter], ratios: dict[str, float] = RATIOS,
     return {name: choose(tuple(sorted(groups[name].items()))) for name in sorted(groups, key=order)}
 
 
-def staged_path(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share, removed when the driver ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sluicebox-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/sluicebox/assignments-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 def assignments(counts: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = SEED) -> DataFrame:
     """(_group, split) of every group of a group table, as `assign_groups` gives them, for any number of groups.
 
@@ -110,7 +98,7 @@ def assignments(counts: DataFrame, ratios: dict[str, float] = RATIOS, seed: int
     groups = counts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("label", "count"))).alias("counts"), F.sum("count").alias("size"))
     later = ~F.exists("counts", lambda c: c["label"] == F.lit(rarest(labels)))
     ordered = groups.orderBy(later, F.desc("size"), F.md5(F.concat(F.lit(f"{seed}:"), "group"))).select("group", "counts")
-    choose, path, names, chosen = chooser(labels, ratios), staged_path(spark), [], []
+    choose, path, names, chosen = chooser(labels, ratios), staged_path(spark, "assignments"), [], []
 
     def write() -> None:
         part = pa.table({"_group": pa.array(names, pa.string()), "split": pa.array(chosen, pa.string())})

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluicebox.operators.order import beside
+
 #: The reasons for which a record is refused, in the order in which they are tested.
 REASONS = (
     "invalid_json", "row_not_object", "missing_required_field", "invalid_text_type", "empty_text", "text_too_short",
@@ -67,8 +68,13 @@ def validate(records: DataFrame, id_column: str = "object_id", text: str = "text
 
 def first_by_id(records: DataFrame, id_column: str = "object_id", order: str = "line_number") -> DataFrame:
     """`records` with first_line, the line on which their id first came, and is_repeat for later ones."""
-    first = F.min(order).over(W.partitionBy(id_column))
-    return records.withColumn("first_line", first).withColumn("is_repeat", F.col(id_column).isNotNull() & (F.col(order) > first))
+    known = F.col(id_column).isNotNull()
+    first = records.where(known).groupBy(F.col(id_column).alias("_id")).agg(F.min(order).alias("first_line"))
+    named = records.where(known).join(first, F.col(id_column) == F.col("_id")).drop("_id")
+    # Rows without an id stay where they are.
+    unnamed = beside(records.where(~known), records.where(~known).agg(F.min(order).alias("first_line")))
+    both = named.unionByName(unnamed)
+    return both.withColumn("is_repeat", known & (F.col(order) > F.col("first_line")))
 
 
 def text_digest(text: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,27 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, by whatever file system the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share, removed when the driver ends.
+
+    That is spark.checkpoint.dir; only a local master may go without it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sluicebox-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/sluicebox/{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and return it as a table: what follows reads it, however often."""
+    path = staged_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

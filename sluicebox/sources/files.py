@@ -12,21 +12,24 @@ from pyspark.sql import types as T
 
 from sluicebox.functions import cells
 from sluicebox.functions.digests import content_digest, object_id, record_digest
+from sluicebox.operators.order import positions
 
 
 def read_csv(spark: SparkSession, path: str, target: str | None = None, id_column: str | None = None) -> DataFrame:
-    """A CSV file with all columns as strings, empty cells as NULL, and _row_idx, which grows with the place in the file.
+    """A CSV file with all columns as strings, empty cells as NULL, and _row_idx, the row's place in the file, from 0.
 
-    Without rows, or without the target column, it fails. With `id_column`, missing ids become row_<number>.
+    Without rows, or without the target column, it fails. With `id_column`, missing ids become row_<place>. A file is
+    read as one piece only if a quoted cell holds a line end.
     """
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    torn = spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).limit(1).count() > 0
+    df = spark.read.option("header", True).option("multiLine", torn).option("escape", '"').schema(schema).csv(path)
     if not header or df.isEmpty():
         raise ValueError("empty_tabular_source")
     if target is not None and target not in header:
         raise ValueError("missing_target_column")
-    df = df.withColumn("_row_idx", F.monotonically_increasing_id())
+    df = positions(df, "_row_idx")
     if id_column is not None:
         back = F.format_string("row_%06d", F.col("_row_idx"))
         df = df.withColumn(id_column, F.coalesce(F.col(id_column), back) if id_column in header else back)
@@ -34,9 +37,9 @@ def read_csv(spark: SparkSession, path: str, target: str | None = None, id_colum
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, value, is_utf8) of a text file; numbers grow with the place in the file."""
-    raw = spark.read.text(path)
-    return raw.select(F.monotonically_increasing_id().alias("line_number"), "value", F.is_valid_utf8("value").alias("is_utf8"))
+    """(line_number, value, is_utf8) of a text file; lines are numbered from 1."""
+    raw = positions(spark.read.text(path), "_line")
+    return raw.select((F.col("_line") + 1).alias("line_number"), "value", F.is_valid_utf8("value").alias("is_utf8"))
 
 
 MANIFEST = T.StructType([
