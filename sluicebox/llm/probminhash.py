@@ -166,20 +166,20 @@ class Texts:
         return self.with_node(self.docs.where(has_words(self.text)).select(self.text), "node" if self.text != "node" else "_node").toDF("text", "node").select("node", "text")
 
 
-def band_rows(texts: Texts, weights: str) -> DataFrame:
-    """(node, level, band): the bands of every row."""
+def signed_rows(texts: Texts, weights: str) -> DataFrame:
+    """(node, level, bands) of every row."""
     bound_batches(texts.docs.sparkSession)
-    signed = texts.rows().mapInArrow(_sign(weights), "node long, level int, bands array<long>")
-    return stage(signed.select("node", "level", F.explode("bands").alias("band")), "bands")
+    return stage(texts.rows().mapInArrow(_sign(weights), "node long, level int, bands array<long>"), "bands")
 
 
-def band_links(rows: DataFrame) -> DataFrame:
+def band_links(signed: DataFrame) -> DataFrame:
     """(a, b): links that connect all texts that share a band.
 
     Only a band's hash and a node travel; partial minima are taken before the shuffle, so a band that a third of
     the texts share is no burden. A text is linked to the smallest of its bands' smallest texts, and those among
     each other: in a large family they are few, so there are hardly more links than texts.
     """
+    rows = signed.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
     stars = rows.join(shared, "band").groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("smallest"))
     ends = F.explode(F.array_append("smallest", F.col("node")))
@@ -298,7 +298,7 @@ def block_links(texts: DataFrame, weights: str) -> DataFrame:
     return verified(dealt.select(F.xxhash64("root", "block").alias("grp"), "node", "text"), weights)
 
 
-def cross_links(texts: DataFrame, bands: DataFrame, found: DataFrame, weights: str) -> DataFrame:
+def cross_links(texts: DataFrame, signed: DataFrame, found: DataFrame, weights: str) -> DataFrame:
     """Links between texts of large families that share a band and that `found` (node, root as class) does not connect.
 
     A band all of whose texts are one class is done. Of the others, classes of a block's size or more are parts of their
@@ -308,18 +308,16 @@ def cross_links(texts: DataFrame, bands: DataFrame, found: DataFrame, weights: s
     """
     classed = texts.select("node", F.col("root").alias("family")).join(found.select("node", F.col("root").alias("cls")), "node", "left")
     classed = stage(classed.withColumn("cls", F.coalesce("cls", "node")), "classed")
-    # Only a band with a text outside its family's largest class can be open, and most texts are in that class.
-    largest = classed.groupBy("family", "cls").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("cls", F.struct("n", "cls")).alias("largest"))
-    minor = classed.join(largest, "family").where("cls <> largest").select("node")
-    near = bands.join(sized(stage(minor, "minor-texts")), "node").select("band").distinct()
-    few = bands.join(sized(stage(near, "minor-bands")), "band").groupBy("band", "node").agg(F.min("level").alias("level"))
-    members = few.join(classed.select("node", "cls"), "node")
-    several = members.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("band")
+    torn = classed.groupBy("family").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("family")
+    placed = stage(classed.join(torn, "family").select("node", "cls"), "torn-families")
+    each = signed.join(sized(placed), "node").select("node", "cls", "level", F.explode("bands").alias("band"))
+    members = stage(each.groupBy("band", "node", "cls").agg(F.min("level").alias("level")), "band-members")
     # Bands of the same texts are one.
-    texts_of = stage(members.join(several, "band"), "open-texts")
-    same = texts_of.groupBy("band").agg(F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
-    one = same.groupBy("sum", "n").agg(F.min("band").alias("band")).select("band")
-    rows = stage(texts_of.join(one, "band").select("band", "node", "cls", "level"), "open-bands")
+    bands = members.groupBy("band").agg(
+        F.min("cls").alias("low"), F.max("cls").alias("high"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n")
+    )
+    one = bands.where("low <> high").groupBy("sum", "n").agg(F.min("band").alias("band")).select("band")
+    rows = stage(members.join(sized(stage(one, "open")), "band"), "open-bands")
     sizes = rows.groupBy("band", "cls").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("rest", F.col("n") < BLOCK).withColumn("part", F.when(F.col("rest"), 0).otherwise(F.col("cls"))).drop("n")
     parted = stage(rows.join(sizes, ["band", "cls"]), "parted-bands")
@@ -344,15 +342,15 @@ def classes(texts: Texts, weights: str = "sets") -> DataFrame:
     """(node, class_node, class_id, ...) of every text that has words: its class's root and smallest doc_id."""
     if weights not in WEIGHTS:
         raise ValueError(f"weights are one of {WEIGHTS}")
-    bands = band_rows(texts, weights)
-    families = components(band_links(bands), "families")
+    signed = signed_rows(texts, weights)
+    families = components(band_links(signed), "families")
     sizes = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = stage(families.join(sizes, "root"), "placed")
     found = family_texts(texts, placed)
     links = stage(block_links(found, weights).distinct(), "links")
     large = found.where("blocks > 1")
     if large.limit(1).count():
-        more = cross_links(large, bands, components(links, "block-classes"), weights)
+        more = cross_links(large, signed, components(links, "block-classes"), weights)
         links = links.unionByName(stage(more.distinct(), "cross-links"))
     joined = components(links, "classes")
     rooted = texts.nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "first", "copies")
