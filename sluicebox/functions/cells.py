@@ -54,6 +54,14 @@ def format_number(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
 
 
+def format_decimal(x: Column) -> Column:
+    """A decimal as text: whole numbers without a point, others without trailing zeros, never with an exponent."""
+    # The cast gives an exponent for very small numbers; format_number with all digits does not.
+    text = F.regexp_replace(F.format_number(x, 38), ",", "")
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(x == 0, "0").otherwise(trimmed)
+
+
 def slug(text: Column) -> Column:
     """Lower case, with runs of anything but letters and digits as one underscore."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")

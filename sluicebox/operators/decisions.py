@@ -31,6 +31,40 @@ HARD_GATES = {
 }
 
 
+def hard_gates(
+    pii_unmasked: bool = False, target_column_missing: bool = False, split_leakage: bool = False, external_api_raw_pii: bool = False,
+    target_leakage_candidate: bool = False, business_rule_failure: bool = False, plugins: dict[str, str] | None = None, methods: tuple[str, ...] = (),
+) -> tuple[str, ...]:
+    """The dataset's gates that facts trigger, in order; `plugins` has states by name, `methods` the states of those asked for."""
+    triggered = {
+        "pii_unmasked": pii_unmasked, "target_column_missing": target_column_missing, "split_leakage": split_leakage,
+        "external_api_raw_pii": external_api_raw_pii, "target_leakage_candidate": target_leakage_candidate,
+        "business_rule_failure": business_rule_failure, "plugin_disabled": "disabled" in (plugins or {}).values(),
+        "method_disabled_by_policy": "disabled_by_policy" in methods, "method_disabled_by_readiness": "disabled_by_readiness" in methods,
+    }
+    return tuple(g for g in HARD_GATES if triggered[g])
+
+
+def critical_blockers(decided: DataFrame, dataset_gates: tuple[str, ...] = (), examples: int = 3) -> DataFrame:
+    """(code, severity, action, objects, examples): one row for each gate that blocks, the dataset's or an object's.
+
+    `objects` counts the blocked ones; of them the first few by id stand as examples, so a row stays small.
+    """
+    gates = F.array(*[F.lit(g) for g in HARD_GATES])
+    action = F.create_map(*[F.lit(x) for pair in HARD_GATES.items() for x in pair])
+    own = decided.where("hard_blocked").select("object_id", F.explode(F.array_intersect(gates, F.col("reason_codes"))).alias("gate"))
+    # Ranges of ids by hash give their first few before the shuffle; of those the first few are taken.
+    part = F.pmod(F.xxhash64("object_id"), F.lit(256))
+    few = own.groupBy("gate", part.alias("_p")).agg(F.count("*").alias("n"), *[F.min("object_id").alias("first")])
+    counted = few.groupBy("gate").agg(F.sum("n").alias("objects"), F.slice(F.array_sort(F.collect_list("first")), 1, examples).alias("examples"))
+    named = decided.sparkSession.createDataFrame([(g,) for g in dataset_gates], "gate string")
+    both = named.join(counted, "gate", "full_outer")
+    return both.select(
+        F.upper("gate").alias("code"), F.lit("critical").alias("severity"), action[F.col("gate")].alias("action"),
+        F.coalesce("objects", F.lit(0)).cast("long").alias("objects"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
+    )
+
+
 def value(name: str, default: float = 0.0) -> Column:
     """A signal of a passport, or a default where it is not available."""
     return F.coalesce(F.col(name), F.lit(default))

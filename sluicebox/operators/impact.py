@@ -158,3 +158,25 @@ def eligibility(df: DataFrame, target: str, rare: str, split: str = "split", lea
     )
     reasons = tuple(name for bad, name in tests if bad)
     return Eligibility(not reasons, reasons)
+
+
+def excluded_columns(columns: list[str], features: list[str], target: str) -> list[str]:
+    """The columns that a model neither learns from nor predicts, in their order."""
+    return [c for c in columns if c not in features and c != target]
+
+
+def zero_metrics(rare: str) -> dict:
+    """The metrics of a model that could not be trained."""
+    return {
+        "rare_class_label": rare, "rare_class_recall": 0.0, "rare_class_precision": 0.0, "macro_f1": 0.0, "weighted_f1": 0.0,
+        "pr_auc": None, "pr_auc_status": "not_applicable", "pr_auc_reason": "metrics_unavailable", "sample_count": 0,
+    }
+
+
+def fallback_readiness(version: str, candidate: str, reasons: tuple[str, ...], present: tuple[str, ...], missing: tuple[str, ...], splits: DataFrame | None = None) -> dict:
+    """What stands in place of model impact where a candidate is not eligible: why, and which inputs and rows there are."""
+    return {
+        "fallback_kind": "readiness_only", "parent_version": version, "candidate_version": candidate, "primary_reason": reasons[0] if reasons else "not_eligible",
+        "reasons": list(reasons), "inputs_present": sorted(present), "inputs_missing": sorted(missing),
+        "splits": [] if splits is None else sorted((r.asDict() for r in splits.collect()), key=lambda r: r["split"]),
+    }

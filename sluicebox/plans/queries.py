@@ -459,19 +459,38 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances.nearest(v.where("id % 50 = 0"), v, 5, exclude_same_id=True)
 
 
-@query()
-def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for the smallest of two classes of vectors. Random by hash; tested for number, bounds and neighbours."""
+DIMENSIONS = [f"x{i}" for i in range(64)]
+
+
+def flat_vectors(spark: SparkSession, sf_dir: str, id_name: str = "vec_id") -> DataFrame:
+    """embeddings with a column for each dimension, and one class against the rest as the target."""
     e = table(spark, sf_dir, "embeddings")
-    flat = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)], F.when(F.col("label") == 0, "1").otherwise("0").alias("target"))
-    return synthetic.smote(flat, "target", "1", [f"x{i}" for i in range(4)], "vec_id", strategy=0.5)
+    return e.select(F.col("vec_id").alias(id_name), *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(DIMENSIONS)], F.when(F.col("label") == 0, "1").otherwise("0").alias("target"))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label = 0 THEN '1' ELSE '0' END AS target FROM embeddings),
+r AS (SELECT vec_id, v, row_number() OVER (ORDER BY ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 4096, vec_id) - 1 AS k FROM e WHERE target = '1'),
+c AS (SELECT (SELECT count(*) FROM r) AS n, (SELECT max(m) FROM (SELECT count(*) AS m FROM e GROUP BY target)) AS most),
+near AS (SELECT a.k AS seed, b.k AS other, row_number() OVER (PARTITION BY a.k ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)), b.k) AS rank FROM r a, r b WHERE a.k <> b.k),
+i AS (SELECT unnest(range(0, greatest(n, round_even(most * 0.5, 0)::BIGINT) - n)) AS i, n FROM c),
+u AS (SELECT i, n, ('0x' || substr(md5('42:seed:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS a, ('0x' || substr(md5('42:neighbor:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS b,
+  ('0x' || substr(md5('42:lambda:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS l FROM i),
+d AS (SELECT i, l, floor(a * n)::BIGINT AS seed, floor(b * least(5, n - 1))::BIGINT + 1 AS rank FROM u)
+SELECT 'synthetic_' || lpad(i::VARCHAR, 6, '0') AS vec_id, {", ".join(f"s.v[{j + 1}] + l * (o.v[{j + 1}] - s.v[{j + 1}]) AS {x}" for j, x in enumerate(DIMENSIONS))},
+  '1' AS target, 1 AS is_synthetic, 'train' AS synthetic_source_split, s.vec_id::VARCHAR AS seed_id, o.vec_id::VARCHAR AS neighbor_id, l AS lambda
+FROM d JOIN near USING (seed, rank) JOIN r s ON s.k = d.seed JOIN r o ON o.k = near.other
+""")
+def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for the smallest of two classes of vectors, drawn by MD5."""
+    return synthetic.smote(flat_vectors(spark, sf_dir), "target", "1", DIMENSIONS, "vec_id", strategy=0.5)
 
 
 @query()
 def copula_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows like orders. Random by hash; tested for marginal distributions and correlations."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", F.col("l_returnflag").alias("target"))
-    return synthetic.copula(rows, "target", ["l_quantity", "l_extendedprice", "l_discount"], "object_id", strategy=0.01)
+    return synthetic.copula(rows, "target", ["l_quantity", "l_extendedprice", "l_discount"], "object_id")
 
 
 @query("""
@@ -507,9 +526,7 @@ def gate_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates of a candidate made of vectors. Its parts have SQL of their own."""
-    e = table(spark, sf_dir, "embeddings")
-    flat = e.select(F.col("vec_id").alias("object_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)], F.when(F.col("label") == 0, "1").otherwise("0").alias("target"))
-    features = [f"x{i}" for i in range(4)]
+    flat, features = flat_vectors(spark, sf_dir, "object_id"), DIMENSIONS
     made = synthetic.augmented(flat, synthetic.smote(flat, "target", "1", features, "object_id", strategy=0.5))
     parted = splits.hash_split(flat, "object_id")
     return gates.run_gates(
@@ -543,9 +560,7 @@ def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of a baseline model that tells one class of vectors from the rest."""
-    e = table(spark, sf_dir, "embeddings")
-    features = [f"x{i}" for i in range(8)]
-    flat = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)], F.when(F.col("label") == 0, "1").otherwise("0").alias("target"))
+    flat, features = flat_vectors(spark, sf_dir), DIMENSIONS
     parted = splits.hash_split(flat, "vec_id", {"train": 0.7, "test": 0.3})
     scored = impact.train_and_score(parted.where("split = 'train'"), parted.where("split = 'test'"), features, "target", "1")
     return impact.metrics(scored, "1")
@@ -614,7 +629,17 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.review_queue(decided).select("queue", "object_id", "priority", "may_leave")
 
 
-@query()
+CODES_SQL = """codes AS (SELECT *, list_distinct(list_filter([CASE WHEN duplicate_score >= 0.5 THEN 'exact_duplicate' END, CASE WHEN rare >= 0.7 THEN 'rare_class_underrepresented' END,
+  CASE WHEN privacy_risk >= 0.01 OR privacy_risk > 0 THEN 'text_pii_detected' END, CASE WHEN 1 - technical_quality >= 0.75 THEN 'severe_outlier' END,
+  CASE WHEN amb >= 0.5 OR unc >= 0.5 THEN 'ambiguous_object' END, CASE WHEN err >= 0.5 THEN 'probable_label_error' END, CASE WHEN hard_blocked THEN 'pii_unmasked' END], lambda x: x IS NOT NULL)) AS reasons FROM dec),
+groups AS (SELECT *, CASE WHEN action = 'KEEP' THEN NULL WHEN action = 'BLOCK_EXPORT' THEN 'SEND_TO_PRIVACY_REVIEW' ELSE action END AS recommended_action,
+  coalesce(list_filter(['probable_label_error', 'ambiguous_object', 'text_pii_detected', 'pii_unmasked', 'exact_duplicate', 'rare_class_underrepresented'], lambda x: list_contains(reasons, x))[1], reasons[1]) AS primary_reason FROM codes)"""
+
+
+@query(f"""
+WITH {PASSPORT_SQL}, {CODES_SQL} SELECT recommended_action, 'text' AS modality, primary_reason, count(*) AS objects, avg(object_value) AS mean_value FROM groups
+WHERE recommended_action IS NOT NULL GROUP BY ALL
+""")
 def decision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.action_groups(decisions.decide(decisions.object_value(document_passports(spark, sf_dir))))
 
@@ -628,9 +653,66 @@ def dataset_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.readiness(decisions.decide(decisions.object_value(document_passports(spark, sf_dir))))
 
 
-@query()
+@query(f"""
+WITH {PASSPORT_SQL}, x AS (SELECT object_id, unnest([{{'s': 'technical_quality', 'v': technical_quality}}, {{'s': 'privacy_risk', 'v': privacy_risk}}, {{'s': 'duplicate_score', 'v': duplicate_score}},
+  {{'s': 'rare_segment_score', 'v': rare}}, {{'s': 'business_importance', 'v': NULL}}, {{'s': 'label_issue_score', 'v': err}}, {{'s': 'model_uncertainty', 'v': 1 - confidence}}, {{'s': 'prediction_confidence', 'v': confidence}},
+  {{'s': 'prediction_margin', 'v': margin}}, {{'s': 'prediction_entropy', 'v': nent}}, {{'s': 'ambiguous_object_score', 'v': amb}}, {{'s': 'probable_label_error_score', 'v': err}}]) AS p, confidence IS NULL AS bare FROM dec)
+SELECT object_id, p.s AS signal, p.v::DOUBLE AS value, CASE WHEN p.v IS NULL THEN 'not_applicable' ELSE 'available' END AS status,
+  CASE WHEN p.v IS NOT NULL THEN NULL WHEN p.s IN ('technical_quality', 'privacy_risk', 'duplicate_score', 'rare_segment_score', 'business_importance') THEN p.s || '_not_available'
+    WHEN bare THEN 'prediction_manifest_not_provided' ELSE 'prediction_signal_not_available' END AS reason,
+  CASE WHEN p.v IS NULL THEN NULL WHEN p.s = 'technical_quality' THEN 0.95 WHEN p.s IN ('duplicate_score', 'privacy_risk') THEN 0.9 WHEN p.s IN ('rare_segment_score', 'business_importance') THEN NULL ELSE 0.82 END::DOUBLE AS confidence FROM x
+""")
 def evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passports.evidence(document_passports(spark, sf_dir))
+    """The evidence of every document, a row for each signal."""
+    bundles = passports.evidence(document_passports(spark, sf_dir))
+    each = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"signals.{n}").alias("of")) for n in passports.SIGNALS])
+    rows = bundles.select("object_id", "confidence", F.explode(each).alias("x"))
+    return rows.select("object_id", "x.signal", "x.of.value", "x.of.status", "x.of.reason", F.col("confidence")[F.col("x.signal")].alias("confidence"))
+
+
+@query(f"""
+WITH {PASSPORT_SQL}, g AS (SELECT count(*) FILTER (privacy_risk >= 0.8) AS own, (SELECT count(*) > 0 FROM lineitem WHERE NOT coalesce(l_discount <= 0.09, false)) AS broken FROM dec), n AS (SELECT count(*) AS n FROM dec)
+SELECT 'BUSINESS_RULE_FAILURE' AS code, 'critical' AS severity, 'BLOCK_RULES_REVIEW' AS action, n AS objects FROM g, n WHERE broken
+UNION ALL SELECT 'PII_UNMASKED', 'critical', 'BLOCK_PRIVACY_REVIEW', own FROM g WHERE own > 0
+""")
+def hard_gate_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What blocks the documents if a critical rule of another table fails."""
+    rule = rules.Rule("discount", (rules.Check("l_discount", "lte", 0.09),), "critical")
+    broken = rules.rule_summary(table(spark, sf_dir, "lineitem"), (rule,)).first()["blocker"]
+    triggered = decisions.hard_gates(business_rule_failure=broken)
+    decided = decisions.decide(decisions.object_value(document_passports(spark, sf_dir)), triggered)
+    return decisions.critical_blockers(decided, triggered).drop("examples")
+
+
+@query("""
+WITH d AS (SELECT count(*) AS rows, coalesce(sum(n) FILTER (n > 1), 0) AS dup FROM (SELECT count(*) AS n FROM labels GROUP BY quality, toxic)),
+r AS (SELECT sum(n) AS rows, coalesce(sum(n) FILTER (n > 1), 0) AS dup FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+c AS (SELECT min(n) AS few, max(n) AS most, sum(n) AS total FROM (SELECT count(*) AS n FROM labels GROUP BY toxic)),
+p AS (SELECT 1 - dup / rows AS uniqueness, least(1.0, 1 / ln(1 + most / few)) AS balance, dup / rows >= 0.05 AS severe, most / few >= 10 OR few / total <= 0.05 AS uneven FROM r, c)
+SELECT round(least(100, greatest(0, 100 * (0.15 + 0.15 + 0.12 * round(uniqueness, 6) + 0.15 * round(balance, 6) + 0.18 + 0.15 + 0.10) - CASE WHEN severe THEN 10 ELSE 0 END - CASE WHEN uneven THEN 10 ELSE 0 END)), 6) AS score,
+  round(uniqueness, 6) AS uniqueness, round(balance, 6) AS balance, concat_ws(',', CASE WHEN severe THEN 'severe_duplicates' END, CASE WHEN uneven THEN 'severe_class_imbalance' END) AS penalties FROM p
+""")
+def dataset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of a dataset whose rows are those of lineitem and whose classes are those of labels."""
+    from sluicebox.plans.score import Facts
+    from sluicebox.plans.score import dataset_score as score_of
+
+    dup = profile.duplicate_summary(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).first()
+    classes = profile.class_imbalance(table(spark, sf_dir, "labels"), "toxic").first()
+    found = score_of(Facts(
+        rows=dup["row_count"], duplicate_rows=dup["affected_rows"], balance=classes["balance_score"], imbalance_ratio=classes["imbalance_ratio"],
+        minority_share=classes["rare_class_ratio"],
+    ))
+    row = (found.raw, found.components["uniqueness"], found.components["balance"], ",".join(found.penalties))
+    return spark.createDataFrame([row], "score double, uniqueness double, balance double, penalties string")
+
+
+@query(f"""
+WITH {BALANCES} SELECT 'c_acctbal' AS "column", 'median' AS method, count(*) FILTER (c_acctbal IS NULL) AS missing_before, 0::BIGINT AS missing_after, count(*) FILTER (c_acctbal IS NULL) AS imputed FROM balances
+""")
+def version_compare_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = balances(spark, sf_dir)
+    return versions.imputed_fields(before, actions.impute(before, "c_acctbal", "median"), {"c_acctbal": "median"})
 
 
 # --------------------------------------------------------------------------- versions, identity, export

@@ -117,6 +117,8 @@ class Analysis:
     score: Score
     recommendations: list[methods.Recommendation]
     readiness: dict
+    gates: tuple[str, ...] = ()
+    blockers: tuple[str, ...] = ()
 
     def summary(self) -> dict:
         """The report of the run: what it covered, the score, what blocks, what is recommended."""
@@ -127,14 +129,19 @@ class Analysis:
             "decision": self.readiness["decision"], "readiness": self.readiness["readiness"], "score": self.score.value,
             "predictions": "available" if self.predictions is not None else "prediction_manifest_not_provided",
             "ambiguous": reasons.get("ambiguous_object", 0), "probable_label_errors": reasons.get("probable_label_error", 0),
+            "gates": list(self.gates), "blockers": list(self.blockers),
             "recommendations": [r.action for r in self.recommendations], "next_job": self.readiness["next_job"],
         }
 
 
-def analyze(table: DataFrame, config: Config, texts: DataFrame | None = None, predicted: DataFrame | None = None) -> Analysis:
+def analyze(
+    table: DataFrame, config: Config, texts: DataFrame | None = None, predicted: DataFrame | None = None, split_checks: DataFrame | None = None,
+    redact: bool = True, plugins: dict[str, str] | None = None,
+) -> Analysis:
     """Analyse a raw table of string columns with optional texts (object_id, text) and predictions.
 
-    Predictions name rows of the table by its id column. Nothing is written.
+    Predictions name rows of the table by its id column; `split_checks` are rows of splits.leakage_checks. Without
+    `redact` personal data stays in the texts and counts as unmasked. Nothing is written but staged counts.
     """
     columns = [c for c in table.columns if c != "_row_idx"]
     order = "_row_idx" if "_row_idx" in table.columns else config.id_column
@@ -169,22 +176,34 @@ def analyze(table: DataFrame, config: Config, texts: DataFrame | None = None, pr
     facts_row = imbalance.first()
     rare = None if facts_row is None else config.labels.get(facts_row["rare_class_label"], facts_row["rare_class_label"])
     passport = passports.passports(rows, text_signals, signals, copies, outlying, broken, rare, None if facts_row is None else facts_row["rare_class_ratio"])
-    decided = decisions.decide(decisions.object_value(passport))
-    ready = decisions.readiness(decided).first().asDict()
     summary = rule_summary(table, config.rules) if config.rules else None
-    dup = profile.duplicate_summary(table, features).first()
-    cells = prof.agg(F.sum("total_count").alias("t"), F.sum("null_count").alias("m")).first()
+    ruled = summary.collect() if summary is not None else []
     leak_rows = leaks.collect()
     totals = pii.totals(valid).first() if valid is not None else None
+    unmasked = 0 if redact or totals is None else totals["pii_record_count"]
+    split_leak = split_checks is not None and split_checks.where("status = 'FAILED' and severity = 'BLOCKER'").limit(1).count() > 0
+    high_leak = any(r["reason_code"] == "high_target_match_rate" for r in leak_rows)
+    gates = decisions.hard_gates(
+        pii_unmasked=unmasked > 0, target_column_missing=config.target not in table.columns, split_leakage=split_leak,
+        target_leakage_candidate=high_leak, business_rule_failure=any(r["blocker"] for r in ruled), plugins=plugins,
+    )
+    decided = decisions.decide(decisions.object_value(passport), gates)
+    blockers = tuple(sorted(r["code"] for r in decisions.critical_blockers(decided, gates).collect()))
+    ready = decisions.readiness(decided).first().asDict()
+    dup = profile.duplicate_summary(table, features).first()
+    cells = prof.agg(F.sum("total_count").alias("t"), F.sum("null_count").alias("m")).first()
+    copies_of = 0
+    if valid is not None:
+        copies_of = text.duplicate_texts(valid.where("reason_code is null")).agg(F.sum("group_size")).first()[0] or 0
     stats = text.source_stats(valid).first() if valid is not None else None
     score = dataset_score(Facts(
-        total_cells=cells["t"] or 0, missing_cells=cells["m"] or 0, rule_pass_rates=tuple(r["pass_rate"] for r in summary.collect()) if summary is not None else (),
+        total_cells=cells["t"] or 0, missing_cells=cells["m"] or 0, rule_pass_rates=tuple(r["pass_rate"] for r in ruled),
         has_profile=True, target_missing=config.target not in table.columns, rows=dup["row_count"] or 0, duplicate_rows=dup["affected_rows"],
         texts=stats["record_count"] if stats else 0, valid_texts=stats["valid_count"] if stats else 0, pii_texts=totals["pii_record_count"] if totals else 0,
-        redacted_texts=totals["pii_record_count"] if totals else 0, balance=facts_row["balance_score"] if facts_row else None,
+        redacted_texts=totals["pii_record_count"] - unmasked if totals else 0, duplicate_texts=copies_of, split_leakage=split_leak, balance=facts_row["balance_score"] if facts_row else None,
         imbalance_ratio=facts_row["imbalance_ratio"] if facts_row else 1.0, minority_share=facts_row["rare_class_ratio"] if facts_row else 1.0,
-        leakage_candidates=len(leak_rows), high_leakage=any(r["reason_code"] == "high_target_match_rate" for r in leak_rows),
-        blockers=frozenset({"OBJECTS"}) if ready["blocked"] else frozenset(), lineage=(config.dataset, config.version, config.digest()),
+        leakage_candidates=len(leak_rows), high_leakage=high_leak,
+        blockers=frozenset(blockers), lineage=(config.dataset, config.version, config.digest()),
     ))
     segments: dict[str, list[float]] = {}
     if config.segment:
@@ -192,7 +211,7 @@ def analyze(table: DataFrame, config: Config, texts: DataFrame | None = None, pr
             segments.setdefault(r["column"], []).append(r["missing_ratio"])
     profiled = [r.asDict() for r in prof.collect()]
     advice = methods.recommendations(profiled, config.target, segments, facts_row.asDict() if facts_row else None)
-    return Analysis(config, rows, prof, missing, profile.duplicate_groups(table, features, config.id_column), imbalance, leaks, summary, valid, signals, passport, decided, decisions.review_queue(decided), score, advice, ready)
+    return Analysis(config, rows, prof, missing, profile.duplicate_groups(table, features, config.id_column), imbalance, leaks, summary, valid, signals, passport, decided, decisions.review_queue(decided), score, advice, ready, gates, blockers)
 
 
 def apply_plan(table: DataFrame, config: Config, plan: methods.Plan, approval: dict, gates=None) -> tuple[DataFrame, versions.Candidate]:

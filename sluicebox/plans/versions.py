@@ -70,6 +70,61 @@ def changed_cells(before: DataFrame, after: DataFrame, id_column: str, columns:
     return joined.agg(F.array(*each).alias("r")).select(F.inline("r"))
 
 
+def pii_diff(before: dict | None, after: dict | None) -> dict:
+    """Records with personal data, redacted and not, before and after; the arguments are pii.totals with redacted_record_count."""
+    if before is None and after is None:
+        return {"status": "not_applicable", "reason": "text_ocr_report_not_provided"}
+    of = lambda side, name: (side or {}).get(name, 0)
+    found = [of(x, "pii_record_count") for x in (before, after)]
+    masked = [of(x, "redacted_record_count") for x in (before, after)]
+    return {
+        "status": "available", "pii_before": found[0], "pii_after": found[1], "pii_delta": found[1] - found[0], "redacted_before": masked[0],
+        "redacted_after": masked[1], "unredacted_before": max(0, found[0] - masked[0]), "unredacted_after": max(0, found[1] - masked[1]),
+    }
+
+
+def redacted_delta(before: dict | None, after: dict | None) -> int:
+    """How many more records are redacted, 0 where a side is missing or has fewer."""
+    return 0 if before is None or after is None else max(0, after.get("redacted_record_count", 0) - before.get("redacted_record_count", 0))
+
+
+def duplicate_diff(before: DataFrame | None, after: DataFrame | None, columns: list[str]) -> dict:
+    """Pairs of duplicates, the rows beyond the first of each group, before and after."""
+    from sluicebox.operators.profile import duplicate_summary
+
+    if before is None and after is None:
+        return {"status": "not_applicable", "reason": "tabular_profile_not_provided"}
+    pairs = [0 if df is None else duplicate_summary(df, columns).first()["pair_count"] or 0 for df in (before, after)]
+    return {"status": "available", "pairs_before": pairs[0], "pairs_after": pairs[1], "pairs_delta": pairs[1] - pairs[0]}
+
+
+def imputed_fields(before: DataFrame, after: DataFrame, methods: dict[str, str]) -> DataFrame:
+    """(column, method, missing_before, missing_after, imputed) of the columns with missing cells; `methods` by column."""
+    missing = lambda df, side: df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in methods]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(m).alias("method"), F.col(c).alias(f"missing_{side}")) for c, m in methods.items()]))
+    )
+    both = missing(before, "before").join(missing(after, "after").drop("method"), "column")
+    imputed = F.greatest(F.lit(0), F.col("missing_before") - F.col("missing_after"))
+    return both.withColumn("imputed", imputed.cast("long")).where("imputed > 0 or missing_before > 0")
+
+
+def gate_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(gate, status_before, status_after, blocks_after, change) of all gates of either run; a gate that was not run is absent."""
+    side = lambda df, s: df.select("gate", F.col("status").alias(f"status_{s}"), F.col("blocks").alias(f"blocks_{s}"))
+    both = side(before, "before").join(side(after, "after"), "gate", "full_outer")
+    was, now = F.coalesce("status_before", F.lit("ABSENT")), F.coalesce("status_after", F.lit("ABSENT"))
+    change = F.when(was == now, "same").when(now == "FAILED", "newly_failed").when(was == "FAILED", "resolved").otherwise("changed")
+    return both.select("gate", was.alias("status_before"), now.alias("status_after"), F.coalesce("blocks_after", F.lit(False)).alias("blocks_after"), change.alias("change"))
+
+
+def metric_diff(before: dict | None, after: dict | None) -> dict:
+    """Differences of the metrics that both sides have as numbers; without a side they don't apply."""
+    if before is None or after is None:
+        return {"status": "not_applicable", "reason": "model_metrics_not_provided"}
+    both = sorted(k for k in before if isinstance(before[k], (int, float)) and isinstance(after.get(k), (int, float)))
+    return {"status": "available", "metrics": {k: {"before": before[k], "after": after[k], "delta": round(after[k] - before[k], 6)} for k in both}}
+
+
 def score_diff(before: Score | None, after: Score | None) -> dict:
     """Components and penalties before and after; a component that is missing afterwards counts as unchanged."""
     if before is None or after is None:

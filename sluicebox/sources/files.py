@@ -206,3 +206,51 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", content_digest(F.col("content")).alias("sha256"))
+
+
+def in_scope(key: str, prefix: str) -> bool:
+    """Whether a key of an object store lies below a prefix."""
+    base = prefix.strip("/")
+    return not base or key.strip("/") == base or key.lstrip("/").startswith(base + "/")
+
+
+def list_objects(spark: SparkSession, base: str, prefix: str = "") -> DataFrame:
+    """(key, length, modified) of the files below `base`/`prefix`, their contents unread; keys are relative to `base`."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath().rstrip("/")
+    path = scoped(base, prefix) if prefix else base
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    key = F.substring_index(F.url_decode(F.regexp_replace("path", "[+]", "%2B")), root + "/", -1)
+    return files.select(key.alias("key"), "length", F.col("modificationTime").alias("modified"))
+
+
+def read_redacted(spark: SparkSession, path: str, id_column: str = "object_id") -> DataFrame:
+    """The records that export_text has written, with reason_code where a record's text is not that of its digest."""
+    rows = spark.read.schema(f"{id_column} string, redacted_text string, pii_token_count long, redacted_text_sha256 string").json(path)
+    bad = ~F.col("redacted_text_sha256").eqNullSafe(content_digest(F.col("redacted_text")))
+    return rows.withColumn("reason_code", F.when(bad, "digest_mismatch"))
+
+
+def csv_shape(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The header of a CSV file and the number of its rows."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.columns, df.count()
+
+
+def single_source(files: DataFrame, name: str = "transactions", key: str = "key") -> str:
+    """The one CSV file of a name among listed files; none or several are refused."""
+    stem = F.lower(F.element_at(F.split(F.col(key), "/"), -1))
+    found = [r[0] for r in files.where(stem == f"{name.lower()}.csv").select(key).limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError("transactions_source_missing" if not found else "transactions_source_ambiguous")
+    return found[0]
+
+
+def validated(spark: SparkSession, path: str, expected: str, kind: str = "manifest") -> DataFrame:
+    """The rows of a manifest or of predictions, if the file has the expected digest and every row is valid."""
+    if tree_digest(spark, path) != expected:
+        raise ValueError(f"{kind}_hash_mismatch")
+    rows = (read_manifest if kind == "manifest" else read_predictions)(spark, path)
+    first = rows.where("reason_code is not null").select("reason_code").limit(1).collect()
+    if first:
+        raise ValueError(f"{kind}_invalid: {first[0][0]}")
+    return rows.drop("reason_code")
