@@ -14,29 +14,28 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.digests import content_digest
 
-START, STOP = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-#: The detectors in their order, with ASCII classes.
+#: The detectors in their order. The flag U gives \b, \d and \s their meaning for Unicode text.
 DETECTORS: tuple[tuple[str, str], ...] = (
-    ("secret", rf"(?i){START}(?:token|secret|password|api[_\-]?key)[ \t\r\n\f]*[:=][ \t\r\n\f]*['\"]?[^'\" \t\r\n\f,}}]+"),
-    ("email", rf"{START}[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{STOP}"),
-    ("passport", rf"(?i){START}(?:passport[ \t\r\n\f]*[:#-]?[ \t\r\n\f]*)?[A-Z]{{0,2}}[0-9]{{4}}[ \t\r\n\f\-]?[0-9]{{6}}{STOP}"),
-    ("payment_card", rf"{START}(?:[0-9][ \-]?){{12,18}}[0-9]{STOP}"),
-    ("bank_account", rf"(?i){START}(?:account|acct|iban)[:# \t\r\n\f\-]*([A-Z0-9]{{8,34}}){STOP}"),
-    ("phone", r"(?<![0-9.])(?:\+?[0-9][ \t\r\n\f().\-]*){9,}[0-9](?![0-9])"),
+    ("secret", r"(?iU)\b(?:token|secret|password|api[_\-]?key)\s*[:=]\s*['\"]?[^'\"\s,}]+"),
+    ("email", r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
+    ("passport", r"(?iU)\b(?:passport\s*[:#-]?\s*)?[A-Z]{0,2}\d{4}[\s\-]?\d{6}\b"),
+    ("payment_card", r"(?U)\b(?:\d[ \-]?){12,18}\d\b"),
+    ("bank_account", r"(?iU)\b(?:account|acct|iban)[:#\s\-]*([A-Z0-9]{8,34})\b"),
+    ("phone", r"(?U)(?<![\d.])(?:\+?\d[\s().\-]*){9,}\d(?!\d)"),
 )
 #: A stricter reading of a bank account: the number must hold a digit, so "account statement" is none.
-STRICT_BANK = rf"(?i){START}(?:account|acct|iban)[:# \t\r\n\f\-]*((?=[A-Z]*[0-9])[A-Z0-9]{{8,34}}){STOP}"
+STRICT_BANK = r"(?iU)\b(?:account|acct|iban)[:#\s\-]*((?=[A-Z]*[0-9])[A-Z0-9]{8,34})\b"
 WEIGHTS = {"secret": 1.0, "email": 0.5, "passport": 1.0, "payment_card": 1.0, "bank_account": 0.9, "phone": 0.5}
 GATE_PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("phone", r"(?:\+[0-9][0-9\s\-()]{5,}[0-9]|[0-9][0-9]*[\s\-()][0-9\s\-()]{4,}[0-9])"),
-    ("passport_like", r"\b[0-9]{4}\s[0-9]{6}\b"),
+    ("phone", r"(?U)(?:\+\d[\d\s\-()]{5,}\d|\d[\d]*[\s\-()][\d\s\-()]{4,}\d)"),
+    ("passport_like", r"(?U)\b\d{4}\s\d{6}\b"),
 )
 LOG_PATTERNS = (
-    ("secret", r"(?i)\b(?:token|secret|password|api[_-]?key)\s*[:=]\s*['\"]?[^'\"\s,}]+"),
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("phone", r"(?:\+?[0-9][\s().-]*){10,}[0-9]"),
-    ("passport", r"(?i)\b(?:passport\s*)?[0-9]{4}[\s-]?[0-9]{6}\b"),
+    ("secret", r"(?iU)\b(?:token|secret|password|api[_-]?key)\s*[:=]\s*['\"]?[^'\"\s,}]+"),
+    ("email", r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("phone", r"(?U)(?:\+?\d[\s().-]*){10,}\d"),
+    ("passport", r"(?iU)\b(?:passport\s*)?\d{4}[\s-]?\d{6}\b"),
 )
 SENSITIVE_KEY = re.compile(r"(raw|text|content|email|phone|passport|token|secret|password|api[_-]?key|pii)", re.I)
 

@@ -265,13 +265,63 @@ def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_secret", "n_email", "n_passport", "n_payment_card")
 
 
-@query()
+def redacted_sql(source: str, keys: str) -> str:
+    """WITH clauses that end in `redacted`: `keys`, text, t (its redaction) and n_<category> by category.
+
+    DuckDB's patterns have no look-behind: a phone number takes the character before it along and puts it back. What
+    follows its last digit is no digit in any case, since the run is as long as it can be.
+    """
+    plain = {
+        "secret": r"""(?i)\b(?:token|secret|password|api[_\-]?key)\s*[:=]\s*[''"]?[^''"\s,}]+""", "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+        "passport": r"(?i)\b(?:passport\s*[:#-]?\s*)?[A-Z]{0,2}[0-9]{4}[\s\-]?[0-9]{6}\b", "payment_card": r"\b(?:[0-9][ \-]?){12,18}[0-9]\b",
+        "bank_account": r"(?i)\b(?:account|acct|iban)[:#\s\-]*(?:[A-Z0-9]{8,34})\b", "phone": r"(^|[^0-9.])(?:\+?[0-9][\s().\-]*){9,}[0-9]",
+    }
+    steps, last, counts = [], f"(SELECT {keys}, text, text AS t FROM {source})", ""
+    for name, pattern in plain.items():
+        token, more = f"[REDACTED_{name.upper()}]", f"{counts}, " if counts else ""
+        if name == "payment_card":
+            # A candidate is replaced if its checksum holds; the text is cut at all candidates and put together again.
+            digit = "substr(d, i, 1)::INT"
+            steps += [
+                f"""c1 AS (SELECT *, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS pieces FROM {last})""",
+                f"""c2 AS (SELECT *, list_transform(list_transform(found, lambda x: regexp_replace(x, '[\\s\\-]', '', 'g')), lambda d: list_sum(list_transform(range(1, len(d) + 1),
+  lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN {digit} WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0) AS ok FROM c1)""",
+                f"""d_{name} AS (SELECT {keys}, text, {more}coalesce(len(list_filter(ok, lambda x: x)), 0) AS n_{name}, CASE WHEN len(found) = 0 THEN t ELSE
+  array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || CASE WHEN i > len(found) THEN '' WHEN ok[i] THEN '{token}' ELSE found[i] END), '') END AS t FROM c2)""",
+            ]
+        else:
+            put = "\\1" + token if name == "phone" else token
+            steps.append(f"d_{name} AS (SELECT {keys}, text, {more}coalesce(len(regexp_extract_all(t, '{pattern}')), 0) AS n_{name}, regexp_replace(t, '{pattern}', '{put}', 'g') AS t FROM {last})")
+        last, counts = f"d_{name}", f"{more}n_{name}"
+    total = " + ".join(f"n_{name}" for name in plain)
+    return ",\n".join([*steps, f"redacted AS (SELECT *, ({total})::BIGINT AS pii_token_count FROM {last})"])
+
+
+REDACTED = f"""t AS redacted_text, pii_token_count, 'sha256:' || sha256(t) AS redacted_text_sha256,
+  least(1.0, ({" + ".join(f"n_{name} * {w}" for name, w in pii.WEIGHTS.items())})::DOUBLE / greatest(1.0, coalesce(length(text), 0) / 100.0)) AS pii_risk_score FROM redacted"""
+
+
+@query(f"""
+WITH {redacted_sql("conversations", "conv_id, turn")}
+SELECT conv_id, turn, {REDACTED}
+""")
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted conversations. Not for SQL: DuckDB's patterns have no look-behind, which phone numbers need."""
     return pii.redact(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "redacted_text", "pii_token_count", "pii_risk_score", "redacted_text_sha256")
 
 
-@query()
+@query(f"""
+WITH {redacted_sql("documents", "doc_id")}
+SELECT doc_id, {REDACTED}
+""")
+def pii_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted_text", "pii_token_count", "pii_risk_score", "redacted_text_sha256")
+
+
+@query(f"""
+WITH {redacted_sql("documents", "doc_id")}
+SELECT count(*) AS record_count, count(*) FILTER (pii_token_count > 0) AS pii_record_count, coalesce(sum(pii_token_count), 0)::BIGINT AS pii_token_count,
+  {", ".join(f"coalesce(sum(n_{name}), 0)::BIGINT AS n_{name}" for name in pii.WEIGHTS)} FROM redacted
+""")
 def pii_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.totals(pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text")))
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import zipfile
 from collections import Counter
 
@@ -125,6 +126,47 @@ def test_redaction(spark):
     assert strict.n_bank_account == 0 and pii.redact(spark.createDataFrame([("Account statement",)], "text string")).first().n_bank_account == 1
 
 
+def redacted_by_hand(text):
+    """Counts and redaction with the standard library's patterns, category after category."""
+    plain = [
+        ("secret", re.compile(r"\b(?:token|secret|password|api[_\-]?key)\s*[:=]\s*['\"]?[^'\"\s,}]+", re.I)), ("email", re.compile(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")),
+        ("passport", re.compile(r"\b(?:passport\s*[:#-]?\s*)?[A-Z]{0,2}\d{4}[\s\-]?\d{6}\b", re.I)), ("payment_card", re.compile(r"\b(?:\d[ \-]?){12,18}\d\b")),
+        ("bank_account", re.compile(r"\b(?:account|acct|iban)[:#\s\-]*([A-Z0-9]{8,34})\b", re.I)), ("phone", re.compile(r"(?<![\d.])(?:\+?\d[\s().\-]*){9,}\d(?!\d)")),
+    ]
+    counts = []
+
+    def ok(card):
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(re.sub(r"[\s\-]", "", card)))]
+        return sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+
+    for name, pattern in plain:
+        n = 0
+
+        def put(m):
+            nonlocal n
+            if name == "payment_card" and not ok(m[0]):
+                return m[0]
+            n += 1
+            return f"[REDACTED_{name.upper()}]"
+
+        text = pattern.sub(put, text)
+        counts.append(n)
+    return (*counts, text)
+
+
+def test_redaction_equals_plain_patterns(spark):
+    parts = [
+        ".joe@example.com", "é", "joe@example.com", " ", " ", "-", "+", "1", "4111 1111 1111 1111", "4111111111111112", "1234 567890", "AB1234567890", "passport: ", "Account ", "statement",
+        "DE89370400440532013000", "iban", "api_key", " = 'x1'", "TOKEN:", "+44 (20) 7946 0958", ".", "\n", "_", "名前", "$1", "\\", "token", "555-0100-222-33",
+    ]
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(1500)})
+    names = [f"n_{name}" for name, _ in pii.DETECTORS]
+    got = {r.text: tuple(r)[1:] for r in pii.detect(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", *names, "redacted_text").collect()}
+    want = {t: redacted_by_hand(t) for t in texts}
+    assert got == want and all(sum(w[i] for w in want.values()) > 20 for i in range(6))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 10**15), min_size=1, max_size=20))
 def test_luhn(spark, numbers):
