@@ -16,10 +16,19 @@ from sluicebox.session import staged_path
 #: The splits in their order, their shares and the seed.
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 SEED = 42
+#: Columns that name a row's group where none is configured.
+GROUP_COLUMNS = ("customer_id_hash", "case_id")
 #: The greedy assignment writes its choices in parts of so many groups; up to as many are broadcast.
 PART = 200_000
 
 
+def group_key(columns: list[str], wanted: str | None = None) -> str | None:
+    """The wanted group column, which must be there, or the first known name among the columns."""
+    if wanted is not None and wanted not in columns:
+        raise ValueError(f"group_key_not_found: {wanted}")
+    return wanted or next((g for g in GROUP_COLUMNS if g in columns), None)
+
+
 def group_table(df: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label, count): how many rows of each label every group has."""
     return df.groupBy(F.col(group).cast("string").alias("group"), F.col(label).cast("string").alias("label")).count()

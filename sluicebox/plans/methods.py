@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
+from pyspark.sql import functions as F
+
 from sluicebox.functions.digests import stable_digest, stable_id
 
 #: Weights of a method's score, and for each method its status, quality, risk, cost, explainability,
@@ -28,6 +30,8 @@ RARE_CLASS = {
     "adasyn": ("disabled_by_readiness", 0.74, 0.36, 0.32, 0.52, 0.66, 0.42),
     "ctgan": ("disabled_by_policy", 0.82, 0.42, 0.70, 0.34, 0.64, 0.18),
 }
+#: Augmentation fills the rare class up to this share of the largest one, from so many neighbours.
+AUGMENTATION = {"strategy": 0.20, "k": 3}
 SEGMENT_GAP, RARE_SHARE, IMBALANCE = 0.20, 0.10, 3.0
 SYNTHETIC = frozenset({"smote", "gaussian_copula", "borderline_smote", "adasyn", "ctgan"})
 #: Gates that a step must pass.
@@ -183,24 +187,61 @@ def run_key(workflow: str, scope: dict, inputs: Iterable[str], config: str, **mo
     return stable_digest({"workflow": workflow, "scope": scope, "inputs": sorted(set(inputs)), "config": config, **more})
 
 
-def execute(plan: Plan, df, target: str | None, id_column: str, approval: dict | None = None, group: str | None = None, signature: list[str] | None = None):
-    """The candidate of an approved plan: its steps applied one after the other; lazy, and the source is untouched."""
+def split_for(df, target: str, id_column: str, group: str | None = None):
+    """(id_column, split) of every row by the group-stratified split, staged: all later uses see the same choices."""
+    from sluicebox.operators import splits
+    from sluicebox.session import staged_path
+
+    key = splits.group_key(df.columns, group)
+    rows = df.select(*dict.fromkeys([id_column, target, *([key] if key else [])]))
+    parted = splits.group_stratified_split(rows, target, key, id_column).select(id_column, "split")
+    path = staged_path(df.sparkSession, "split")
+    parted.write.parquet(path)
+    return df.sparkSession.read.schema(parted.schema).parquet(path)
+
+
+def training_rows(df, split, content: list[str], id_column: str, group: str | None = None):
+    """The train rows of `df` by the assignments `split`; refused if a row has none or the splits leak."""
+    from sluicebox.operators import splits
+
+    if splits.unassigned(df, split, id_column).limit(1).count():
+        raise ValueError("split_incomplete")
+    keyed = df.select(*content, *[F.col(c).alias(f"_{i}") for i, c in enumerate((id_column, group)) if c])
+    parted = keyed.join(split.select(F.col(id_column).alias("_id"), F.col("split").alias("_split")), F.col("_0") == F.col("_id"))
+    failed = splits.leakage_checks(parted, content, "_1" if group else None, split="_split").where("status = 'FAILED' and severity = 'BLOCKER'")
+    found = sorted(r["check"] for r in failed.collect())
+    if found:
+        raise ValueError(f"leakage_checks_failed: {', '.join(found)}")
+    return splits.split_rows(df, split, "train", id_column)
+
+
+def execute(
+    plan: Plan, df, target: str | None, id_column: str, approval: dict | None = None, group: str | None = None, signature: list[str] | None = None,
+    split=None, split_group: str | None = None,
+):
+    """The candidate of an approved plan: its steps applied one after the other; lazy, and the source is untouched.
+
+    `group` is the column of group medians. Rows are only made of train rows: by the assignments `split` (id_column,
+    split), else by the group-stratified split with `split_group` or a known column as group. Equal contents or a group
+    in several splits, or a row without a split, refuse the augmentation.
+    """
     from sluicebox.operators import actions, splits, synthetic
 
     check_execution(plan, plan.source_version, approval)
     for step in plan.steps:
+        content = signature or [c for c in df.columns if c != id_column]
         if step.step_type == "IMPUTE_MISSING_VALUES":
             df = actions.impute(df, step.subject, step.method_id, target, group)
         elif step.step_type == "MARK_DUPLICATES":
-            df = actions.mark_duplicates(df, signature or [c for c in df.columns if c != id_column], id_column)
+            df = actions.mark_duplicates(df, content, id_column)
         elif step.step_type == "REMOVE_DUPLICATES":
-            df = actions.remove_duplicates(df, signature or [c for c in df.columns if c != id_column], id_column)
+            df = actions.remove_duplicates(df, content, id_column)
         elif step.step_type == "AUGMENT_RARE_CLASS" and step.method_id == "smote":
-            parted = splits.hash_split(df, group or id_column)
-            train = parted.where("split = 'train'").drop("split")
+            given = split_for(df, target, id_column, split_group) if split is None else split
+            train = training_rows(df, given, content, id_column, splits.group_key(df.columns, split_group))
             rare = train.groupBy(target).count().orderBy("count", target).first()[0]
             features = synthetic.feature_columns(train, target, (id_column,))
-            made = synthetic.smote(train, target, str(rare), features, id_column, seed=step.random_seed or 42)
+            made = synthetic.smote(train, target, str(rare), features, id_column, seed=step.random_seed or 42, **AUGMENTATION)
             df = synthetic.augmented(df, made)
         elif step.step_type != "CONFIGURE_CLASS_WEIGHTS":
             raise ValueError(f"unsupported_step {step.step_type}")

@@ -214,8 +214,11 @@ def analyze(
     return Analysis(config, rows, prof, missing, profile.duplicate_groups(table, features, config.id_column), imbalance, leaks, summary, valid, signals, passport, decided, decisions.review_queue(decided), score, advice, ready, gates, blockers)
 
 
-def apply_plan(table: DataFrame, config: Config, plan: methods.Plan, approval: dict, gates=None) -> tuple[DataFrame, versions.Candidate]:
-    """The candidate of an approved plan, and its version; `gates` makes gate rows from (source, candidate)."""
-    candidate = methods.execute(plan, table, config.target, config.id_column, approval, config.group or config.segment)
+def apply_plan(table: DataFrame, config: Config, plan: methods.Plan, approval: dict, gates=None, split: DataFrame | None = None) -> tuple[DataFrame, versions.Candidate]:
+    """The candidate of an approved plan, and its version; `gates` makes gate rows from (source, candidate).
+
+    `split` (id column, split) says which rows augmentation may use; without it a split is made.
+    """
+    candidate = methods.execute(plan, table, config.target, config.id_column, approval, config.segment or config.group, split=split, split_group=config.group)
     rows = None if gates is None else [r.asDict() for r in gates(table, candidate).collect()]
     return candidate, versions.candidate_version(config.version, plan.plan_id, rows)

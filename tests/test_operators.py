@@ -427,6 +427,30 @@ def test_execute_plan(spark):
     assert {r["column"]: r.filled for r in versions.changed_cells(df, done, "object_id", ["income"]).collect()} == {"income": 1}
 
 
+def test_execute_augmentation(spark):
+    rows = [(f"o{i:03}", f"c{i // 2}", float(i), float(i * i % 97), "1" if i % 16 < 2 else "0") for i in range(320)]
+    df = spark.createDataFrame(rows, "object_id string, case_id string, x double, y double, label string")
+    found = methods.recommend_rare_class("label", 0.05, 15.0, has_split=True)
+    plan = methods.preview([found], "v1", {found.recommendation_id: "smote"})
+    approval = {"plan_id": plan.plan_id, "integrity": plan.integrity()}
+    split = methods.split_for(df, "label", "object_id")
+    place = {r.object_id: r.split for r in split.collect()}
+    assert len(place) == 320 and all(place[f"o{i:03}"] == place[f"o{i + 1:03}"] for i in range(0, 320, 2))
+    train = [r for r in rows if place[r[0]] == "train"]
+    counts = Counter(r[4] for r in train)
+    done = methods.execute(plan, df, "label", "object_id", approval).collect()
+    made = [r for r in done if r["is_synthetic"] == 1]
+    assert len(done) - len(made) == 320 and len(made) == max(0, round(counts["0"] * 0.2) - counts["1"]) > 0
+    xs, ys = ([r[k] for r in train if r[4] == "1"] for k in (2, 3))
+    assert all(r.label == "1" and min(xs) <= r.x <= max(xs) and min(ys) <= r.y <= max(ys) for r in made)
+    torn = split.selectExpr("object_id", "case when object_id = 'o000' then 'test' when object_id = 'o001' then 'train' else split end as split")
+    twins = df.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)).drop("case_id")
+    bad = [(df, torn, None, "leakage_checks_failed: group_key"), (twins, None, None, "leakage_checks_failed: exact_hash"), (df, split.where("object_id <> 'o007'"), None, "split_incomplete"), (df, None, "none", "group_key_not_found")]
+    for table, given_, group, reason in bad:
+        with pytest.raises(ValueError, match=reason):
+            methods.execute(plan, table, "label", "object_id", approval, split=given_, split_group=group)
+
+
 def test_versions_and_card():
     failed = [{"gate": "privacy", "status": "FAILED", "severity": "BLOCKER"}]
     c, good = versions.candidate_version("v1", "n", failed), versions.candidate_version("v1", "n", [])
