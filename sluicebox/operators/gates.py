@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.functions.cells import number
+from sluicebox.functions.cells import numbers
 from sluicebox.functions.digests import row_signature
 from sluicebox.operators import pii
 from sluicebox.operators.distances import nearest, vector
@@ -49,8 +49,9 @@ def schema_gate(candidate: DataFrame, declared: list[str], numeric: list[str]) -
     if lacking:
         return gate(candidate.sparkSession.range(1), "schema", F.lit(float(len(lacking))), F.lit(True))
     raw = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
-    bad = sum((F.count_if(raw(c).isNotNull() & number(raw(c)).isNull()) for c in numeric if c in candidate.columns), F.lit(0))
-    one = candidate.agg(bad.alias("n"))
+    known = [c for c in numeric if c in candidate.columns]
+    bad = F.size(F.array_compact(F.array(*[raw(c) for c in known]))) - F.size(F.array_compact(numbers(candidate, known)))
+    one = candidate.agg(F.coalesce(F.sum(bad), F.lit(0)).alias("n"))
     return gate(one, "schema", F.col("n"), F.col("n") > 0, "WARNING")
 
 

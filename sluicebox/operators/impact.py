@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.functions.cells import number
+from sluicebox.functions.cells import numbers
 from sluicebox.operators.order import beside, running_totals
 
 #: How far a metric may drop, and what a dataset needs to be evaluated.
@@ -60,12 +60,12 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], targ
     kind and not digit by digit.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def prepared(df: DataFrame) -> DataFrame:
-        cells = [F.coalesce(number(F.col(f).cast("string")), F.lit(0.0)).alias(f"_x{i}") for i, f in enumerate(features)]
-        rows = df.select("*", *cells, F.col(target).cast("string").alias("label"), (F.col(target).cast("string") == rare).cast("double").alias("_y"))
-        return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features").transform(rows)
+        cells = F.transform(numbers(df, features), lambda x: F.coalesce(x, F.lit(0.0)))
+        label = F.col(target).cast("string")
+        return df.select("*", array_to_vector(cells).alias("_features"), label.alias("label"), (label == rare).cast("double").alias("_y"))
 
     rows = prepared(train)
     n = rows.agg(F.count("*").alias("n"), F.sum("_y").alias("p")).first()
@@ -75,8 +75,6 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], targ
     model = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="_w", maxIter=500, regParam=1.0 / n["n"], standardization=False)
     fitted = model.fit(rows.withColumn("_w", weight))
     others = rows.where("_y = 0").groupBy("label").count().agg(F.max_by("label", F.struct("count", "label"))).first()[0]
-    from pyspark.ml.functions import vector_to_array
-
     scored = fitted.transform(prepared(test)).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("prediction", F.when(F.col("prediction") == 1, rare).otherwise(others)).select(*test.columns, "label", "prediction", "score")
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.cells import number
-from sluicebox.operators.distances import nearest, vector
+from sluicebox.operators.distances import nearest
 from sluicebox.operators.order import numbered, quantiles
+from sluicebox.session import stage
 
 MARKER, SOURCE_SPLIT = "is_synthetic", "synthetic_source_split"
 LEVELS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -51,9 +52,12 @@ def smote(train: DataFrame, target: str, rare: str, features: list[str], id_colu
     if n < 2 or not features:
         raise ValueError("needs two rare rows and a numeric column")
     new = smote_target(n, max(counts.values()), strategy) - n
-    rows = train.where(label == rare).withColumn("_vector", vector(*features))
-    keyed = numbered(rows, id_column, "_k")
-    points = keyed.select(F.col("_k").alias("id"), F.col("_vector").alias("vector"))
+    # Features travel as one array, and are columns again at the end: code for each of many columns can't be compiled.
+    cells = F.array(*[F.col(f).try_cast("double") for f in features])
+    void = [c for c, t in train.dtypes if t == "void"]
+    rows = train.where(label == rare).withColumn("_cells", cells).drop(*features, *void)
+    keyed = stage(numbered(rows, id_column, "_k"), "rare")
+    points = keyed.select(F.col("_k").alias("id"), F.transform("_cells", lambda x: F.coalesce(x, F.lit(0.0))).alias("vector"))
     near = nearest(points, points, min(k, n - 1), exclude_same_id=True)
     i = F.col("id")
     draws = train.sparkSession.range(new).select(
@@ -61,10 +65,11 @@ def smote(train: DataFrame, target: str, rare: str, features: list[str], id_colu
         (F.floor(uniform(seed, "neighbor", i) * min(k, n - 1)) + 1).cast("int").alias("_rank"), uniform(seed, "lambda", i).alias("lambda"),
     )
     picked = draws.join(near.select(F.col("query_id").alias("_seed"), F.col("rank").alias("_rank"), F.col("id").alias("_other")), ["_seed", "_rank"])
-    other = keyed.select(F.col("_k").alias("_other"), F.col(id_column).alias("neighbor_id"), *[F.col(f).try_cast("double").alias(f"_n_{f}") for f in features])
-    joined = picked.join(keyed.withColumnRenamed("_k", "_seed"), "_seed").join(other, "_other")
-    value = lambda f: F.coalesce(F.col(f).try_cast("double") + F.col("lambda") * (F.col(f"_n_{f}") - F.col(f).try_cast("double")), F.col(f).try_cast("double"))
-    made = [value(c).alias(c) if c in features else F.format_string("synthetic_%06d", F.col("_i")).alias(c) if c == id_column else F.col(c) for c in train.columns]
+    other = keyed.select(F.col("_k").alias("_other"), F.col(id_column).alias("neighbor_id"), F.col("_cells").alias("_near"))
+    between = F.zip_with("_cells", "_near", lambda a, b: F.coalesce(a + F.col("lambda") * (b - a), a))
+    joined = picked.join(keyed.withColumnRenamed("_k", "_seed"), "_seed").join(other, "_other").withColumn("_made", between)
+    kept = {f: F.col("_made")[j] for j, f in enumerate(features)} | {id_column: F.format_string("synthetic_%06d", F.col("_i"))} | {c: F.lit(None) for c in void}
+    made = [kept.get(c, F.col(c)).alias(c) for c in train.columns]
     return joined.select(*made, F.lit(1).alias(MARKER), F.lit("train").alias(SOURCE_SPLIT), F.col(id_column).cast("string").alias("seed_id"), F.col("neighbor_id").cast("string").alias("neighbor_id"), "lambda")
 
 
