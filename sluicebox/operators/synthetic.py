@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.functions.cells import number
 from sluicebox.operators.distances import nearest
-from sluicebox.operators.order import numbered, quantiles
+from sluicebox.operators.order import numbered, quantiles, value_counts
 from sluicebox.session import stage
 
 MARKER, SOURCE_SPLIT = "is_synthetic", "synthetic_source_split"
@@ -89,8 +89,10 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, correlation) of all pairs of columns in one pass; a constant column correlates with none."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    # corr itself divides by zero for a constant column.
+    r = lambda a, b: F.try_divide(F.covar_pop(x(a), x(b)), F.stddev_pop(x(a)) * F.stddev_pop(x(b)))
     one = df.agg(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else F.coalesce(F.nanvl(F.corr(x(a), x(b)), F.lit(0.0)), F.lit(0.0))).alias("r"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else F.coalesce(F.nanvl(r(a, b), F.lit(0.0)), F.lit(0.0))).alias("r"))
         for a, b in pairs
     ]).alias("m"))
     limited = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("r"))))
@@ -138,17 +140,24 @@ def copula(train: DataFrame, target: str, features: list[str], id_column: str, s
     What is fitted is as large as the number of columns; rows are made where they lie, by number.
     """
     numbers = train.select(*[F.col(f).try_cast("double").alias(f) for f in features])
-    median = {r["column"]: r["q"][0] for r in quantiles(numbers, features, [0.5]).collect()}
+    counts = value_counts(numbers, features)
+    found = {r["column"]: r["q"] for r in quantiles(numbers, features, [0.5, *LEVELS], counts).collect()}
+    median = {f: q[0] for f, q in found.items()}
     filled = train.select(*[F.coalesce(F.col(f).try_cast("double"), F.lit(median.get(f)), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("string").alias("_label"))
     place = {f: i for i, f in enumerate(features)}
     r = np.eye(len(features))
     for row in correlation(filled, features).collect():
         r[place[row["a"]], place[row["b"]]] = r[place[row["b"]], place[row["a"]]] = row["correlation"]
     lower = cholesky(r)
-    grid: dict[str, list] = {f: [] for f in features}
-    for row in quantile_grid(filled, features).orderBy("column", "level").collect():
-        grid[row["column"]].append(row["value"])
-    labels = sorted((x["_label"], x["count"]) for x in filled.groupBy("_label").count().collect())
+    lacking = [F.count_if(F.col(f).try_cast("double").isNull()).alias(f"_m{k}") for k, f in enumerate(features)]
+    by_label = train.groupBy(F.col(target).cast("string").alias("_label")).agg(F.count("*").alias("_n"), *lacking).collect()
+    missing = [(f, median.get(f, 0.0), n) for k, f in enumerate(features) if (n := sum(x[f"_m{k}"] for x in by_label))]
+    if missing:  # cells that are filled weigh on their column's median
+        more = train.sparkSession.createDataFrame(missing, "column string, x double, n long")
+        counts = stage(counts.unionByName(more).groupBy("column", "x").agg(F.sum("n").alias("n")), "filled-counts")
+        found = {r["column"]: r["q"] for r in quantiles(filled, features, [0.5, *LEVELS], counts).collect()}
+    grid = {f: found[f][1:] for f in features}
+    labels = sorted((x["_label"], x["_n"]) for x in by_label)
     total = sum(n for _, n in labels)
     new = max(0, round(total * (1 + strategy)) - total)
     i = F.col("id")

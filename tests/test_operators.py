@@ -309,6 +309,16 @@ def test_smote(spark):
     assert set(checks.values()) == {"PASSED"}
 
 
+def test_copula_of_missing_and_constant_columns(spark):
+    rows = spark.range(60).selectExpr("double(id % 7) AS a", "if(id % 5 = 0, null, double(id)) AS b", "double(null) AS c", "5.0D AS d", "string(id % 3) AS y")
+    got = synthetic.copula(rows, "y", ["a", "b", "c", "d"], "object_id", strategy=1.0).toPandas()
+    assert len(got) == 60 and (got["c"] == 0).all() and (got["d"] == 5).all() and not got.isna()[["a", "b"]].any().any()
+    filled = rows.toPandas()["b"].fillna(31.0)  # the median of what is there
+    assert filled.min() <= got["b"].min() and got["b"].max() <= filled.max()
+    r = {(x["a"], x["b"]): x["correlation"] for x in synthetic.correlation(rows, ["a", "d"]).collect()}
+    assert r == {("a", "a"): 1.0, ("a", "d"): 0.0, ("d", "d"): 1.0}
+
+
 def test_copula(spark):
     g = np.random.default_rng(3)
     x = g.normal(size=2000)
