@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions.cells import numbers
 from sluicebox.functions.digests import row_signature
 from sluicebox.operators import pii
-from sluicebox.operators.distances import nearest, vector
+from sluicebox.operators.distances import closest, vector
 from sluicebox.operators.order import beside
 from sluicebox.operators.rules import Rule, rule_summary
 
@@ -79,14 +79,11 @@ def split_gate(checks: DataFrame) -> DataFrame:
 
 def synthetic_gates(synthetic: DataFrame, real: DataFrame, features: list[str], id_column: str, least: float = MIN_DISTANCE) -> DataFrame:
     """Distance to the closest real row, exact copies of real rows, and near copies."""
-    # Copies are found by hash; distances are computed for what is left over, in blocks.
-    s = synthetic.select(F.xxhash64(F.col(id_column).cast("string")).alias("id"), vector(*features).alias("vector"))
-    r = real.select(F.xxhash64(F.col(id_column).cast("string")).alias("id"), vector(*features).alias("vector"))
     copies = exact_copies(synthetic, real, features).agg(F.count("*").alias("n"))
-    d = F.col("distance")
-    one = nearest(s, r).agg(
-        F.min(d).alias("least"), F.coalesce(F.bool_or((d < least) | (d <= COLLISION)), F.lit(False)).alias("close"),
-        F.count_if(d <= NEIGHBOR_EPSILON).alias("near"),
+    points = vector(*features).alias("vector")
+    d = F.col("least")
+    one = closest(synthetic.select(points), real.select(points), NEIGHBOR_EPSILON).select(
+        "least", F.coalesce((d < least) | (d <= COLLISION), F.lit(False)).alias("close"), "near"
     )
 
     def row(name: str, value: Column, failed: Column) -> Column:

@@ -58,7 +58,7 @@ def smote(train: DataFrame, target: str, rare: str, features: list[str], id_colu
     rows = train.where(label == rare).withColumn("_cells", cells).drop(*features, *void)
     keyed = stage(numbered(rows, id_column, "_k"), "rare")
     points = keyed.select(F.col("_k").alias("id"), F.transform("_cells", lambda x: F.coalesce(x, F.lit(0.0))).alias("vector"))
-    near = nearest(points, points, min(k, n - 1), exclude_same_id=True)
+    near = stage(nearest(points, points, min(k, n - 1), exclude_same_id=True), "neighbours")
     i = F.col("id")
     draws = train.sparkSession.range(new).select(
         i.alias("_i"), F.floor(uniform(seed, "seed", i) * n).cast("long").alias("_seed"),

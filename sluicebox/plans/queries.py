@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions import cells, digests
 from sluicebox.operators import actions, decisions, distances, gates, impact, passports, pii, predictions, profile, rules, splits, synthetic, text
 from sluicebox.plans import versions
-from sluicebox.session import table
+from sluicebox.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -577,7 +577,7 @@ def gate_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates of a candidate made of vectors. Its parts have SQL of their own."""
     flat, features = flat_vectors(spark, sf_dir, "object_id"), DIMENSIONS
-    made = synthetic.augmented(flat, synthetic.smote(flat, "target", "1", features, "object_id", strategy=0.5))
+    made = synthetic.augmented(flat, stage(synthetic.smote(flat, "target", "1", features, "object_id", strategy=0.5), "made"))
     parted = splits.hash_split(flat, "object_id")
     return gates.run_gates(
         gates.schema_gate(made, ["object_id", *features, "target"], features),
